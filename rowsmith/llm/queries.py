@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from rowsmith.llm.bpe import op8_bpe
 from rowsmith.llm.common import ship
 from rowsmith.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from rowsmith.llm.mixing import op6_mix_sources
 from rowsmith.llm.sharding import op7_shard
+from rowsmith.llm.warc import op9_warc
 
 
 def _shipped(f):
@@ -19,7 +21,7 @@ def _shipped(f):
 
 QUERIES = {
     f.__name__: _shipped(f)
-    for f in (op2_exact_dedup, op6_mix_sources, op7_shard)
+    for f in (op2_exact_dedup, op6_mix_sources, op7_shard, op8_bpe, op9_warc)
 }
 
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
