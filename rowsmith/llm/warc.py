@@ -121,7 +121,7 @@ class Writer:
         if self.out is None or self.at > FILE_BYTES:
             self.close()
             self.file, self.at = f"{self.name}-{self.n:05d}.warc.gz", 0
-            self.out, self.n = self.fs.open_output_stream(f"{self.dir}/{self.file}"), self.n + 1
+            self.out, self.n = self.fs.open_output_stream(f"{self.dir}/{self.file}", compression=None), self.n + 1
         z = zlib.compressobj(self.level, zlib.DEFLATED, 31)
         member = z.compress(raw) + z.flush()
         self.out.write(member)
