@@ -9,6 +9,7 @@ from rowsmith.llm.lm_scoring import op4_lm_scoring
 from rowsmith.llm.mixing import op6_mix_sources
 from rowsmith.llm.quality import op5_quality
 from rowsmith.llm.sharding import op7_shard
+from rowsmith.llm.toxicity import op1_toxicity
 from rowsmith.llm.warc import op9_warc
 
 
@@ -23,7 +24,7 @@ def _shipped(f):
 
 QUERIES = {
     f.__name__: _shipped(f)
-    for f in (op2_exact_dedup, op4_lm_scoring, op5_quality, op6_mix_sources, op7_shard, op8_bpe, op9_warc)
+    for f in (op1_toxicity, op2_exact_dedup, op4_lm_scoring, op5_quality, op6_mix_sources, op7_shard, op8_bpe, op9_warc)
 }
 
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
