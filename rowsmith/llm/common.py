@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +61,10 @@ def ship(spark: SparkSession) -> None:
 def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (a, b: long): component is the smallest node reachable.
 
-    Alternates large-star and small-star rounds. A round costs two aggregations and two joins
-    over the edges and never gathers a neighbourhood in one row; hubs are split by AQE's skew join.
-    The edge set is written to the shared folder after each round, and the number of rounds is
-    logarithmic in the longest chain.
+    Alternates large-star and small-star rounds until the edges are stars around each component's smallest node.
+    Minima are pre-aggregated and written to the shared folder before they are joined, so both sides of a join
+    are plain shuffles, which AQE splits where a hub holds many edges (or broadcasts, by their size on disk). No
+    neighbourhood is ever gathered in one row; the number of rounds is logarithmic in the longest chain.
     """
     e = materialize(
         spark,
@@ -70,27 +73,62 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     )
     before = None
     for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large star: every larger neighbour moves to the node's minimum
-        large = (
-            both.join(low, "a").filter("b > a and b <> m").select(F.col("m").alias("a"), "b").distinct()
-        )
-        # small star: smaller neighbours and the node itself move to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        moved = large.join(low, "b").select("b", "a", "m")
-        small = (
-            moved.select(F.col("m").alias("a"), "b")
-            .unionByName(moved.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")))
-            .distinct()
-        )
-        e = materialize(spark, small, "cc")
         row = e.agg(F.count("*"), F.countDistinct("b"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        if row[0] == row[1] and row == before:
+        if not row[0] or row[0] == row[1] and row == before:
             break
         before = row
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = materialize(spark, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-low")
+        # large star: a node's larger neighbours move to the smallest of its neighbours and itself
+        large = materialize(spark, both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").distinct(), "cc-large")
+        # small star: a node and its smaller neighbours move to the smallest of them
+        low = materialize(spark, large.groupBy("b").agg(F.min("a").alias("m")), "cc-low")
+        moved = large.filter("a <> b").join(low, "b")
+        small = low.select(F.col("m").alias("a"), "b").unionByName(moved.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")))
+        e = materialize(spark, small.filter("a < b").distinct(), "cc")
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )
+
+
+def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (smallest node, node) with the same components as the edges (a, b); at most one a node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(nodes):
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        for old in (root[x], root[y], x, y):
+            np.minimum.at(new, old, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = root != np.arange(len(nodes))
+    return nodes[root[moved]], nodes[moved]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first `keys` columns, from batches sorted by them, one table a run."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for k in range(keys):
+            values = batch.column(k).to_numpy(zero_copy_only=False)
+            change[1:] |= values[1:] != values[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            key = tuple(batch.column(k)[lo].as_py() for k in range(keys))
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

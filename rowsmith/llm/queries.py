@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rowsmith.llm.bpe import op8_bpe
 from rowsmith.llm.common import ship
+from rowsmith.llm.embedding_dedup import op10_embedding_dedup
 from rowsmith.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from rowsmith.llm.lm_scoring import op4_lm_scoring
 from rowsmith.llm.mixing import op6_mix_sources
@@ -24,7 +25,7 @@ def _shipped(f):
 
 QUERIES = {
     f.__name__: _shipped(f)
-    for f in (op1_toxicity, op2_exact_dedup, op4_lm_scoring, op5_quality, op6_mix_sources, op7_shard, op8_bpe, op9_warc)
+    for f in (op1_toxicity, op2_exact_dedup, op4_lm_scoring, op5_quality, op6_mix_sources, op7_shard, op8_bpe, op9_warc, op10_embedding_dedup)
 }
 
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
