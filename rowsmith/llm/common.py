@@ -93,6 +93,42 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     )
 
 
+def salted_lookup(rows: DataFrame, key: str, salt: str, table: DataFrame) -> DataFrame:
+    """rows joined with the one row that `table` has for their key (other rows: nulls), whatever a key's share of them.
+
+    The table's row first goes to each (key, salt) that occurs, at most one a salt; rows then meet it by both.
+    """
+    homes = rows.select(key, salt).distinct().join(table, key)
+    return rows.join(homes, [key, salt], "left")
+
+
+def bloom(nodes: DataFrame, column: str, most_bits: int = 1 << 29) -> np.ndarray:
+    """Bits of a Bloom filter of a long column, 16 a row and at most most_bits: a superset test of bounded size."""
+    n = max(nodes.count(), 1)
+    bits = min(1 << max(10, (16 * n - 1).bit_length()), most_bits)
+    at = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(bits)) for i in range(2)]))
+    words = (
+        nodes.select(at.alias("p")).groupBy(F.shiftright("p", 5).alias("w"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(32)).cast("int"))).alias("b")).toArrow()
+    )
+    out = np.zeros(bits // 32, np.uint32)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
+    return out
+
+
+def bloom_keys(column: Column) -> list[Column]:
+    """The hashes that `bloom` tests a value by."""
+    return [F.xxhash64(F.lit(i), column) for i in range(2)]
+
+
+def in_bloom(bits: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    out = np.ones(len(keys[0]), bool)
+    for k in keys:
+        p = np.mod(k, len(bits) * 32)
+        out &= (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+    return out
+
+
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (smallest node, node) with the same components as the edges (a, b); at most one a node."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

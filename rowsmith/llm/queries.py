@@ -8,6 +8,7 @@ from rowsmith.llm.embedding_dedup import op10_embedding_dedup
 from rowsmith.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from rowsmith.llm.lm_scoring import op4_lm_scoring
 from rowsmith.llm.mixing import op6_mix_sources
+from rowsmith.llm.ngram_join import op3_ngram_join
 from rowsmith.llm.quality import op5_quality
 from rowsmith.llm.sharding import op7_shard
 from rowsmith.llm.toxicity import op1_toxicity
@@ -25,7 +26,7 @@ def _shipped(f):
 
 QUERIES = {
     f.__name__: _shipped(f)
-    for f in (op1_toxicity, op2_exact_dedup, op4_lm_scoring, op5_quality, op6_mix_sources, op7_shard, op8_bpe, op9_warc, op10_embedding_dedup)
+    for f in (op1_toxicity, op2_exact_dedup, op3_ngram_join, op4_lm_scoring, op5_quality, op6_mix_sources, op7_shard, op8_bpe, op9_warc, op10_embedding_dedup)
 }
 
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
