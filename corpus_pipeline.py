@@ -1,8 +1,73 @@
-"""A training-corpus pipeline; the stages follow."""
+"""A training-corpus pipeline over `documents`: quality, exact copies, near copies, source mix, token ids.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next
+stage's docs; all but the last return the columns of docs. Decisions take effect: what a stage rejects is gone,
+and what the mix repeats is there that often.
+
+Defined cases are those of the operators; rows that share an id are decided on together by the stages
+`near_duplicates` and `mix`, and null ids count as one such id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowsmith.llm import bpe, exact_dedup, mixing, ngram_join, quality
+from rowsmith.llm.common import materialize, ship
+
+#: Models and iterations have no SQL form; tests/llm compares the stages with brute force instead.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose Kneser-Ney surprise is not above their language's threshold."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(docs, labels).filter("keep").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    return exact_dedup.survivors(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id."""
+    ship(spark)
+    groups = ngram_join.similar(docs)
+    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as entropy balancing towards the sources' targets takes them."""
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    taken = docs.join(copies.filter("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and the checksums of the ids and of their decoded text."""
+    ship(spark)
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text", "decoded")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("exact_dedup", drop_copies),
+    ("near_duplicates", near_duplicates),
+    ("mix", mix),
+    ("token_ids", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
