@@ -35,9 +35,10 @@ WINDOW, STRIDE = 32, 16
 WORDS, GRAMS = 1 << 16, 1 << 16
 DIM, HIDDEN, ATTEND = 8, 12, 8
 GRAM_SIZES = (3, 4, 5)
-PER_CLASS = 1500
+PER_CLASS = 1200
 THRESHOLD = 0.3
-BLOCK = 8192
+#: Windows and words are handled in blocks of so many.
+BLOCK = 4096
 
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -115,11 +116,10 @@ class Net:
 
     def inputs(self, t: Tokens) -> np.ndarray:
         """The 2 * DIM input of each distinct word."""
-        n = np.diff(t.cut)
         mean = np.zeros((len(t.word), DIM), np.float32)
-        full = n > 0
-        if full.any():
-            mean[full] = np.add.reduceat(self.p["grams"][t.gram], t.cut[:-1][full], axis=0) / n[full, None]
+        for lo in range(0, len(t.word), BLOCK):  # every word has grams: its marks make it three bytes at least
+            cut = t.cut[lo : lo + BLOCK + 1]
+            mean[lo : lo + BLOCK] = np.add.reduceat(self.p["grams"][t.gram[cut[0] : cut[-1]]], cut[:-1] - cut[0], axis=0) / np.diff(cut)[:, None]
         return np.concatenate([self.p["words"][t.word], mean], axis=1)
 
     def _run(self, d: str, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
@@ -213,12 +213,21 @@ def gather(index: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np
     return index[np.minimum(at, len(index) - 1)], mask.astype(np.float32)
 
 
-def odds(ids: np.ndarray, text: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Log odds of each feature's presence in toxic against clean texts, nearer 0 for features of few texts."""
-    pair = np.unique(text.astype(np.int64) * size + ids)
-    toxic = label[pair // size] > 0
-    one, none = (np.bincount(pair[m] % size, minlength=size) for m in (toxic, ~toxic))
-    lo = np.log((one + 0.5) / (label.sum() + 1)) - np.log((none + 0.5) / ((1 - label).sum() + 1))
+def presence(features, n_texts: int, size: int, label: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Log odds of each feature's presence in toxic against clean texts, nearer 0 for features of few texts.
+
+    features(lo, hi) gives (feature, text) of the texts lo to hi; a few texts are looked at together.
+    """
+    one, none = np.zeros(size), np.zeros(size)
+    for lo in range(0, n_texts, 64):
+        ids, text = features(lo, min(lo + 64, n_texts))
+        seen = used[text]
+        pair = np.unique(text[seen].astype(np.int64) * size + ids[seen])
+        toxic = label[pair // size] > 0
+        one += np.bincount(pair[toxic] % size, minlength=size)
+        none += np.bincount(pair[~toxic] % size, minlength=size)
+    n1, n0 = label[used].sum(), (1 - label[used]).sum()
+    lo = np.log((one + 0.5) / (n1 + 1)) - np.log((none + 0.5) / (n0 + 1))
     return (lo * (one + none) / (one + none + 4)).astype(np.float32)
 
 
@@ -230,18 +239,30 @@ def train(texts: pa.Array, label: np.ndarray, rounds: int = 4, batch: int = 128,
     first, length, text = t.windows()
     fitted = np.arange(len(label)) % 5 != 4
     n = np.diff(t.cut)
-    seen = fitted[t.text]
-    net.p["words"][:, 0] += 0.4 * odds(t.word[t.index][seen], t.text[seen], label, WORDS)
-    of_gram = np.repeat(np.arange(len(t.word)), n)
-    pairs = np.unique(t.text[seen] * len(t.word) + t.index[seen])
-    spread = n[pairs % len(t.word)]
-    at = np.repeat(t.cut[pairs % len(t.word)] - np.cumsum(spread) + spread, spread) + np.arange(spread.sum())
-    net.p["grams"][:, 0] += 0.4 * odds(t.gram[at], np.repeat(pairs // len(t.word), spread), label, GRAMS)
+
+    def words_of(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.searchsorted(t.text, [lo, hi])
+        pair = np.unique(t.text[a:b] * len(t.word) + t.index[a:b])
+        return pair % max(len(t.word), 1), pair // max(len(t.word), 1)
+
+    def grams_of(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        word, text = words_of(lo, hi)
+        each = n[word]
+        at = np.repeat(t.cut[word] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        return t.gram[at], np.repeat(text, each)
+
+    def buckets_of(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        word, text = words_of(lo, hi)
+        return t.word[word], text
+
+    net.p["words"][:, 0] += 0.4 * presence(buckets_of, t.n_texts, WORDS, label, fitted)
+    net.p["grams"][:, 0] += 0.4 * presence(grams_of, t.n_texts, GRAMS, label, fitted)
     toxic = label[text] > 0
     # before the first fit, a window is as strong as its strongest word
-    start = net.inputs(t)[:, 0] + net.inputs(t)[:, DIM]
-    index, mask = gather(t.index, first, length)
-    strength = np.where(mask > 0, start[index], -9).max(1)
+    start, strength = net.inputs(t)[:, [0, DIM]].sum(1), np.empty(len(first), np.float32)
+    for lo in range(0, len(first), BLOCK):
+        index, mask = gather(t.index, first[lo : lo + BLOCK], length[lo : lo + BLOCK])
+        strength[lo : lo + BLOCK] = np.where(mask > 0, start[index], -9).max(1)
     dense = [k for k in net.p if k not in ("words", "grams")]
     m1, m2 = ({k: np.zeros_like(net.p[k]) for k in dense} for _ in range(2))
     sq_w, sq_g = np.full(WORDS, 1e-8, np.float32), np.full(GRAMS, 1e-8, np.float32)
@@ -309,10 +330,13 @@ def calibrate(best: np.ndarray, many: np.ndarray, label: np.ndarray) -> tuple[fl
     x = np.stack([np.clip(best, -20, 20), np.log(many), np.ones(len(best))], axis=1).astype(np.float64)
     w, prior = np.array([1.0, 0.0, 0.0]), np.array([1.0, 0.0, 0.0])
     ridge = np.diag([1.0, 1.0, 0.1])
+    cost = lambda w: np.logaddexp(0, -(2 * label - 1) * (x @ w)).sum() + 0.5 * (w - prior) @ ridge @ (w - prior)
     for _ in range(30):
         p = sigmoid(x @ w)
-        g = x.T @ (p - label) + ridge @ (w - prior)
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, g)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - label) + ridge @ (w - prior))
+        while cost(w - step) > cost(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
     return float(w[0]), float(min(w[1], 0.0)), float(w[2])
 
 
