@@ -1,4 +1,10 @@
-"""Logical records: lines into fields, in parallel where every line stands alone, else a file at a time."""
+"""Logical records: lines into fields.
+
+Where every line stands alone, each is its own record. Where quotes span lines, a line is a function from "inside
+quotes or not" before it to the same after it; composing these in order gives the state at every line, so records
+are joined in parallel. Only `auto` escaping with backslashes in the file, whose choice falls per record, and
+`legacy` boundaries are framed by a stream over each file.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowsmith.functions import tokenizer
@@ -36,6 +42,58 @@ def single(lines: DataFrame, d: Dialect, comment: str | None) -> DataFrame:
     return base.mapInArrow(run, SCHEMA)
 
 
+def joined(lines: DataFrame, d: Dialect, comment: str | None, first_record: int = 1, stretch: int = 100_000) -> DataFrame:
+    """Records that may span lines, without a sequential pass. See SCHEMA; for boundary `standard`.
+
+    A line's function is the identity, a flip, or a constant. The state before a line is the last constant's value,
+    flipped as often as flips follow it; per stretch of lines by a window, between stretches by one row each.
+    """
+    fresh = tokenizer.is_open(F.col("raw"), d)
+    if comment:
+        fresh = fresh & ~F.col("raw").rlike(comment)
+    base = lines.select("file", "file_line", "raw", F.floor(F.col("file_line") / stretch).alias("part")).select(
+        "*", fresh.cast("int").alias("f0"), tokenizer.is_open(F.concat(F.lit(d.quote), F.col("raw")), d).cast("int").alias("f1"))
+    base = base.select("file", "file_line", "raw", "part", F.when(F.col("f0") == F.col("f1"), F.col("f0")).alias("const"), (F.col("f0") > F.col("f1")).cast("int").alias("flip"))
+
+    def states(df: DataFrame, by: list[str], order: str) -> DataFrame:
+        """df with `last` (constant before this row, if any) and `odd` (parity of flips since then, or since the start)."""
+        past = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("flips", F.coalesce(F.sum("flip").over(past), F.lit(0)))
+        # a constant remembers how many flips were before it; flips are counted after it only
+        mark = F.when(F.col("const").isNotNull(), F.struct(F.col("const").alias("v"), (F.col("flips") + F.col("flip")).alias("at")))
+        df = df.withColumn("mark", mark).withColumn("mark", F.last("mark", ignorenulls=True).over(past))
+        return df.withColumn("last", F.col("mark.v")).withColumn("odd", (F.col("flips") - F.coalesce("mark.at", F.lit(0))) % 2).drop("mark", "flips")
+
+    inner = states(base, ["file", "part"], "file_line")
+    # what a whole stretch does: its last line's function after the state before that line
+    ends = base.groupBy("file", "part").agg(
+        F.max_by("const", F.when(F.col("const").isNotNull(), F.col("file_line"))).alias("const"),
+        F.max(F.when(F.col("const").isNotNull(), F.col("file_line"))).alias("at"),
+    )
+    tails = base.join(ends.select("file", "part", "at"), ["file", "part"]).filter(F.col("at").isNull() | (F.col("file_line") > F.col("at")))
+    flips = tails.groupBy("file", "part").agg((F.sum("flip") % 2).alias("odd"))
+    whole = ends.join(flips, ["file", "part"], "left").withColumn("odd", F.coalesce("odd", F.lit(0)))
+    whole = whole.select("file", "part", (F.col("const") + F.col("odd")).alias("sum"), "odd").select(
+        "file", "part", (F.col("sum") % 2).alias("const"), F.when(F.col("sum").isNull(), F.col("odd")).otherwise(0).alias("flip"))
+    starts = states(whole, ["file"], "part").select("file", "part", ((F.coalesce("last", F.lit(0)) + F.col("odd")) % 2).alias("enter"))
+    at = inner.join(starts, ["file", "part"]).withColumn("inside", (F.coalesce("last", "enter") + F.col("odd")) % 2)
+    # a record begins where no quote is open; its number is the count of beginnings, again in two levels
+    at = at.withColumn("begin", (F.col("inside") == 0).cast("int"))
+    counts = at.groupBy("file", "part").agg(F.sum("begin").alias("n"))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    so_far = Window.partitionBy("file", "part").orderBy("file_line").rowsBetween(Window.unboundedPreceding, 0)
+    at = at.join(counts, ["file", "part"]).withColumn("record", F.col("base") + F.sum("begin").over(so_far))
+    whole = at.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("file_line", "raw"))).alias("l"))
+    out = whole.select(
+        "file", F.col("l")[0]["file_line"].alias("file_line"), (F.col("record") + first_record - 1).alias("csv_line"), F.size("l").alias("n_lines"),
+        F.array_join(F.transform("l", lambda x: x["raw"]), d.row_sep).alias("raw"))
+    if comment:
+        out = out.filter(~((F.col("n_lines") == 1) & F.col("raw").rlike(comment)))
+    out = out.withColumn("fields", tokenizer.fields(F.col("raw"), d))
+    return out.withColumn("status", F.when(F.col("fields").isNull(), "malformed").otherwise("ok"))
+
+
 def stitched(lines: DataFrame, d: Dialect, comment: str | None, limit: int | None = None) -> DataFrame:
     """Records that may span lines: one task a file, streaming through it. See SCHEMA."""
     pattern = re.compile(comment) if comment else None

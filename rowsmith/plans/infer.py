@@ -22,12 +22,16 @@ LONG_DIGITS = 18
 class Shape:
     width: int
     statuses: dict[str, int]
+    backslash: bool = False
 
 
 def width(records: DataFrame) -> Shape:
     """Widest row and the number of rows by status."""
-    rows = records.groupBy("status").agg(F.max(F.size("fields")).alias("w"), F.count("*").alias("n")).collect()
-    return Shape(max((r["w"] or 0 for r in rows if r["status"] == "ok"), default=0), {r["status"]: r["n"] for r in rows})
+    slash = F.max((F.instr("raw", "\\") > 0).cast("int")).alias("b")
+    rows = records.groupBy("status").agg(F.max(F.size("fields")).alias("w"), F.count("*").alias("n"), slash).collect()
+    return Shape(
+        max((r["w"] or 0 for r in rows if r["status"] == "ok"), default=0), {r["status"]: r["n"] for r in rows}, any(r["b"] for r in rows),
+    )
 
 
 def _facts(c: Column, key: str) -> list[Column]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -19,6 +20,16 @@ from rowsmith.plans import header, infer
 from rowsmith.sources import lines, sniff
 
 FILE, LINE = "_file", "_line"
+#: What this thread's latest reader said: `last_warnings()`, `last_errors()`.
+_last = threading.local()
+
+
+def last_warnings() -> list[dict]:
+    return getattr(_last, "warnings", [])
+
+
+def last_errors() -> DataFrame | None:
+    return getattr(_last, "errors", None)
 
 
 def select_names(names: list[str | None], options: ReadOptions) -> list[str]:
@@ -36,7 +47,10 @@ class CsvReader:
     Several files of a glob share the first one's dialect and header, and each has its own header line and preamble.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, text: str | None = None, **options: Any) -> None:
+    def __init__(self, spark: SparkSession, path: Any = None, text: str | None = None, **options: Any) -> None:
+        if hasattr(path, "read"):  # an open stream, seekable or not
+            content = path.read()
+            path, text = None, content.decode(options.get("file_encoding", "utf-8").split(":")[0], "replace") if isinstance(content, bytes) else content
         self.spark, self.input = spark, path if text is None else text
         self.options = ReadOptions.of(**options)
         self.warnings: list[dict] = list(self.options.warnings)
@@ -53,6 +67,8 @@ class CsvReader:
         sample = lines.decoder(self.options)(data[skip:])
         self._open(sample)
         self._rows: DataFrame | None = None
+        self.chunk_count = 0
+        _last.warnings, _last.errors = self.warnings, None
 
     def _warn(self, code: str, message: str) -> None:
         for w in self.warnings:
@@ -95,7 +111,10 @@ class CsvReader:
         self._shape = infer.width(alone)
         if "open" not in self._shape.statuses:
             return alone
+        steady = self.dialect.boundary == "standard" and (self.dialect.escaping != "auto" or not self._shape.backslash)
         self._shape = None
+        if steady and o.field_size_limit is None:
+            return records.joined(data, self.dialect, o.comment_regexp, self.preamble + 1)
         return records.stitched(data, self.dialect, o.comment_regexp, o.field_size_limit)
 
     def dataframe(self) -> DataFrame:
@@ -113,7 +132,8 @@ class CsvReader:
         found = records.judge(found, strict, o.field_size_limit)
         shape = infer.width(found) if self._shape is None or strict is not None or o.field_size_limit else self._shape
         self.bad_row_count = quarantine.enforce(found, shape.statuses, o)
-        self.errors = quarantine.bad_rows(found, o.collect_raw_lines)
+        self.errors = _last.errors = quarantine.bad_rows(found, o.collect_raw_lines)
+        self._found = found
         names = list(self.file_headers) + [header.extra_name(i, o) for i in range(len(self.file_headers), shape.width)]
         self._names = names
         kept = select_names(names, o)
@@ -139,6 +159,24 @@ class CsvReader:
         self.types = kinds
         self._rows = rows
 
+    @property
+    def csv_line_count(self) -> int:
+        """Logical lines, the header among them."""
+        self.dataframe()
+        return self.preamble + self._found.count()
+
+    @property
+    def file_line_count(self) -> int:
+        """Physical lines up to the end of the last record."""
+        self.dataframe()
+        return self._found.agg(F.max(F.col("file_line") + F.col("n_lines") - 1)).first()[0] or self.preamble
+
+    def sparse(self, into: str = "row") -> DataFrame:
+        """One map column a row: name to value (VARIANT), only of what is present."""
+        df = self.dataframe()
+        pairs = [x for c in df.columns for x in (F.lit(c), F.col(f"`{c}`").cast("variant"))]
+        return df.select(F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias(into))
+
     def sequenced(self) -> DataFrame:
         """The rows with row_seq, their 1-based place in the input."""
         self.dataframe()
@@ -197,6 +235,7 @@ class CsvReader:
                 out += [part] if o.chunk_size else part
         if o.on_complete:
             o.on_complete({"total_rows": n_rows, "total_chunks": n_chunks, "duration": time.monotonic() - began, "bad_rows": self.bad_row_count})
+        self.chunk_count = n_chunks
         return n_chunks if block else out
 
 
