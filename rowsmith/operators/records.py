@@ -65,25 +65,22 @@ def joined(lines: DataFrame, d: Dialect, comment: str | None, first_record: int
         return df.withColumn("last", F.col("mark.v")).withColumn("odd", (F.col("flips") - F.coalesce("mark.at", F.lit(0))) % 2).drop("mark", "flips")
 
     inner = states(base, ["file", "part"], "file_line")
-    # what a whole stretch does: its last line's function after the state before that line
-    ends = base.groupBy("file", "part").agg(
-        F.max_by("const", F.when(F.col("const").isNotNull(), F.col("file_line"))).alias("const"),
-        F.max(F.when(F.col("const").isNotNull(), F.col("file_line"))).alias("at"),
-    )
-    tails = base.join(ends.select("file", "part", "at"), ["file", "part"]).filter(F.col("at").isNull() | (F.col("file_line") > F.col("at")))
-    flips = tails.groupBy("file", "part").agg((F.sum("flip") % 2).alias("odd"))
-    whole = ends.join(flips, ["file", "part"], "left").withColumn("odd", F.coalesce("odd", F.lit(0)))
-    whole = whole.select("file", "part", (F.col("const") + F.col("odd")).alias("sum"), "odd").select(
-        "file", "part", (F.col("sum") % 2).alias("const"), F.when(F.col("sum").isNull(), F.col("odd")).otherwise(0).alias("flip"))
-    starts = states(whole, ["file"], "part").select("file", "part", ((F.coalesce("last", F.lit(0)) + F.col("odd")) % 2).alias("enter"))
-    at = inner.join(starts, ["file", "part"]).withColumn("inside", (F.coalesce("last", "enter") + F.col("odd")) % 2)
-    # a record begins where no quote is open; its number is the count of beginnings, again in two levels
-    at = at.withColumn("begin", (F.col("inside") == 0).cast("int"))
-    counts = at.groupBy("file", "part").agg(F.sum("begin").alias("n"))
+    # what a whole stretch does is what its last line does after the state before it; how many records begin in it
+    # is known but for the lines before its first constant, where it depends on the state at its start
+    out_of = F.coalesce(F.col("const"), (F.col("last") + F.col("odd") + F.col("flip")) % 2)
+    tail = F.max_by(F.struct(out_of.alias("const"), ((F.col("odd") + F.col("flip")) % 2).alias("odd")), "file_line")
+    known = F.col("last").isNotNull()
+    starts = inner.groupBy("file", "part").agg(
+        tail.alias("t"), F.count(F.when(known & ((F.col("last") + F.col("odd")) % 2 == 0), 1)).alias("n"),
+        F.count(F.when(~known & (F.col("odd") == 0), 1)).alias("n0"), F.count(F.when(~known & (F.col("odd") == 1), 1)).alias("n1"),
+    ).select("file", "part", F.col("t.const").alias("const"), F.when(F.col("t.const").isNull(), F.col("t.odd")).otherwise(0).alias("flip"), "n", "n0", "n1")
     before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    starts = states(starts, ["file"], "part").withColumn("enter", (F.coalesce("last", F.lit(0)) + F.col("odd")) % 2)
+    begins = F.col("n") + F.when(F.col("enter") == 0, F.col("n0")).otherwise(F.col("n1"))
+    starts = starts.select("file", "part", "enter", F.coalesce(F.sum(begins).over(before), F.lit(0)).alias("base"))
+    at = inner.join(starts, ["file", "part"]).withColumn("begin", ((F.coalesce("last", "enter") + F.col("odd")) % 2 == 0).cast("int"))
     so_far = Window.partitionBy("file", "part").orderBy("file_line").rowsBetween(Window.unboundedPreceding, 0)
-    at = at.join(counts, ["file", "part"]).withColumn("record", F.col("base") + F.sum("begin").over(so_far))
+    at = at.withColumn("record", F.col("base") + F.sum("begin").over(so_far))
     whole = at.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("file_line", "raw"))).alias("l"))
     out = whole.select(
         "file", F.col("l")[0]["file_line"].alias("file_line"), (F.col("record") + first_record - 1).alias("csv_line"), F.size("l").alias("n_lines"),

@@ -18,6 +18,7 @@ from rowsmith.operators import quarantine, records, sequence
 from rowsmith.options import DEFAULT_CHUNK, ReadOptions, log
 from rowsmith.plans import header, infer
 from rowsmith.sources import lines, sniff
+from rowsmith.sources.scratch import scratch
 
 FILE, LINE = "_file", "_line"
 #: What this thread's latest reader said: `last_warnings()`, `last_errors()`.
@@ -114,8 +115,13 @@ class CsvReader:
         steady = self.dialect.boundary == "standard" and (self.dialect.escaping != "auto" or not self._shape.backslash)
         self._shape = None
         if steady and o.field_size_limit is None:
-            return records.joined(data, self.dialect, o.comment_regexp, self.preamble + 1)
-        return records.stitched(data, self.dialect, o.comment_regexp, o.field_size_limit)
+            framed = records.joined(data, self.dialect, o.comment_regexp, self.preamble + 1)
+        else:
+            framed = records.stitched(data, self.dialect, o.comment_regexp, o.field_size_limit)
+        # framing shuffles, and width, types and rows all need it: it is done once
+        path = scratch(self.spark, "records")
+        framed.write.parquet(path)
+        return self.spark.read.schema(records.SCHEMA).parquet(path)
 
     def dataframe(self) -> DataFrame:
         """Typed rows; absent values are null. Evaluates what needs a look at all rows: width, types, bad rows."""
