@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from rowsmith.llm.bpe import op8_bpe
 from rowsmith.llm.common import ship
-from rowsmith.llm.embedding_dedup import op10_embedding_dedup
+from rowsmith.llm.embedding_dedup import OP10_SQL, op10_embedding_dedup
 from rowsmith.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from rowsmith.llm.lm_scoring import op4_lm_scoring
 from rowsmith.llm.mixing import op6_mix_sources
-from rowsmith.llm.ngram_join import op3_ngram_join
+from rowsmith.llm.ngram_join import OP3_SQL, op3_ngram_join
 from rowsmith.llm.quality import op5_quality
 from rowsmith.llm.sharding import op7_shard
 from rowsmith.llm.toxicity import op1_toxicity
-from rowsmith.llm.warc import op9_warc
+from rowsmith.llm.warc import OP9_SQL, op9_warc
 
 
 def _shipped(f):
@@ -29,4 +29,4 @@ QUERIES = {
     for f in (op1_toxicity, op2_exact_dedup, op3_ngram_join, op4_lm_scoring, op5_quality, op6_mix_sources, op7_shard, op8_bpe, op9_warc, op10_embedding_dedup)
 }
 
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_ngram_join": OP3_SQL, "op9_warc": OP9_SQL, "op10_embedding_dedup": OP10_SQL}

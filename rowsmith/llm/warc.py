@@ -277,3 +277,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch(spark, "warc")
     index = merge_index(write(pages, uri))
     return read(index, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+ list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((16 * (strpos('0123456789abcdef', substr(h, 1 + 5 * i // 4, 1)) - 1)
+  + strpos('0123456789abcdef', substr(h, 2 + 5 * i // 4, 1)) - 1) >> (3 - i % 4)) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+ CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""
