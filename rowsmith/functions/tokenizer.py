@@ -40,19 +40,14 @@ def _covers(tokens: Column, line: Column, d: Dialect) -> Column:
     return covered == F.length(line) + len(d.col_sep)
 
 
-def _field(token: Column, d: Dialect) -> Column:
+def cell(raw: Column, d: Dialect) -> Column:
+    """A raw field without blanks around it, its enclosing quotes, and with doubled quotes made single."""
     q = d.quote
     strip = (lambda c: F.btrim(c, F.lit(BLANK))) if d.strip else (lambda c: c)
-    raw = strip(F.substring(token, len(d.col_sep) + 1, 2_147_483_647))
+    raw = strip(raw)
     quoted = (F.length(raw) > 1) & raw.startswith(q) & raw.endswith(q)
     inner = F.when(quoted, strip(raw.substr(F.lit(2), F.length(raw) - 2))).otherwise(raw)
-    return F.replace(inner, F.lit(q + q), F.lit(q))
-
-
-def plain(line: Column, d: Dialect) -> Column:
-    """Fields of a line without quotes."""
-    parts = F.split(line, java(d.col_sep), -1)
-    return F.transform(parts, lambda x: F.btrim(x, F.lit(BLANK))) if d.strip else parts
+    return F.when(F.instr(raw, q) == 0, raw).otherwise(F.replace(inner, F.lit(q + q), F.lit(q)))
 
 
 def tokens(line: Column, d: Dialect) -> Column:
@@ -69,10 +64,26 @@ def tokens(line: Column, d: Dialect) -> Column:
     return F.when(slash, F.coalesce(whole(back), whole(rfc))).otherwise(whole(rfc))
 
 
+def raw_fields(line: Column, d: Dialect) -> Column:
+    """Fields of a line as they stand, or null if a quote is open at its end; `cell` cleans those that are wanted."""
+    quoted = F.transform(tokens(line, d), lambda t: F.substring(t, len(d.col_sep) + 1, 2_147_483_647))
+    return F.when(F.instr(line, d.quote) == 0, F.split(line, java(d.col_sep), -1)).otherwise(quoted)
+
+
 def fields(line: Column, d: Dialect) -> Column:
     """Clean fields of a line, or null if a quote is open at its end."""
-    quoted = F.transform(tokens(line, d), lambda t: _field(t, d))
-    return F.when(F.instr(line, d.quote) == 0, plain(line, d)).otherwise(quoted)
+    quoted = F.transform(tokens(line, d), lambda t: cell(F.substring(t, len(d.col_sep) + 1, 2_147_483_647), d))
+    parts = F.split(line, java(d.col_sep), -1)
+    plain = F.transform(parts, lambda x: F.btrim(x, F.lit(BLANK))) if d.strip else parts
+    return F.when(F.instr(line, d.quote) == 0, plain).otherwise(quoted)
+
+
+def where(array: Column, keep) -> Column:
+    """To be selected: the array, in rows where keep(array) holds; other rows vanish.
+
+    A filter on a computed column would be pushed below it and compute it again; a generator isn't.
+    """
+    return F.explode(F.filter(F.array(array), keep))
 
 
 def is_open(line: Column, d: Dialect) -> Column:

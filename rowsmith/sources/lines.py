@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowsmith.options import MAX_SNIFF, ReadOptions
+from rowsmith.sources.scratch import scratch
 
 
 def head(spark: SparkSession, path: str, n: int = MAX_SNIFF) -> tuple[bytes, list[str], int]:
@@ -74,6 +75,10 @@ def read(spark: SparkSession, files: list[str], options: ReadOptions, row_sep: s
         blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
         before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+        # a row a file block, counted once: width, types and rows each read the lines again
+        path = scratch(spark, "blocks")
+        blocks.write.parquet(path)
+        blocks = spark.read.schema(blocks.schema).parquet(path)
         numbered = lines.join(blocks, ["file", "block"]).withColumn("file_line", F.col("before") + F.col("id") - F.col("first") + 1)
         raw = F.when(F.col("file_line") == 1, F.regexp_replace("raw", "^\\x{FEFF}", "")).otherwise(F.col("raw"))
         return numbered.select("file", "file_line", raw.alias("raw"))

@@ -143,9 +143,12 @@ class CsvReader:
         names = list(self.file_headers) + [header.extra_name(i, o) for i in range(len(self.file_headers), shape.width)]
         self._names = names
         kept = select_names(names, o)
-        good = found.filter(F.col("status") == "ok")
-        if o.remove_empty_hashes:
-            good = good.filter(F.exists("fields", lambda x: ~x.rlike(V.BLANK)))
+
+        def wanted(f: Column) -> Column:
+            ok = F.col("status") == "ok"
+            return ok & F.exists(f, lambda x: ~x.rlike(V.BLANK)) if o.remove_empty_hashes else ok
+
+        good = found.select("file", "file_line", "csv_line", tokenizer.where(F.col("fields"), wanted).alias("fields"))
         cleaned = good.select(
             F.col("file").alias(FILE), F.col("file_line").alias(LINE), F.col("csv_line").alias("csv_line_number"),
             *[V.clean(F.get("fields", F.lit(i)), o).alias(n) for i, n in enumerate(names) if n in kept],
@@ -278,21 +281,30 @@ def parse_column(
     raw = df.select(*hidden, F.col(f"`{column}`").alias("_raw"))
     if o.comment_regexp:
         raw = raw.filter(~F.col("_raw").rlike(o.comment_regexp))
-    split = raw.withColumn("_f", tokenizer.fields(F.col("_raw"), d))
-    state = F.when(F.col("_f").isNull(), "malformed")
-    if o.missing_headers == "raise":
-        state = state.when(F.size("_f") > len(names), "extra_columns")
-    if o.field_size_limit is not None:
-        state = state.when(F.exists("_f", lambda x: F.octet_length(x) > o.field_size_limit), "field_too_large")
-    split = split.withColumn("_s", state.otherwise("ok"))
-    if status is None:
-        split = split.filter("_s = 'ok'")
-    if o.remove_empty_hashes and drop_blank:
-        split = split.filter((F.col("_s") != "ok") | F.exists("_f", lambda x: ~x.rlike(V.BLANK)))
+    hidden = [f"_keep{i}" for i in range(len(keep))]
+
+    def state(f: Column) -> Column:
+        out = F.when(f.isNull(), "malformed")
+        if o.missing_headers == "raise":
+            out = out.when(F.size(f) > len(names), "extra_columns")
+        if o.field_size_limit is not None:
+            out = out.when(F.exists(f, lambda x: F.octet_length(tokenizer.cell(x, d)) > o.field_size_limit), "field_too_large")
+        return out.otherwise("ok")
+
+    def wanted(f: Column) -> Column:
+        ok = F.lit(True) if status else state(f) == "ok"
+        if not (o.remove_empty_hashes and drop_blank):
+            return ok
+        some = F.exists(f, lambda x: ~x.rlike(V.BLANK) & ~tokenizer.cell(x, d).rlike(V.BLANK))
+        return ok & (F.coalesce(some, F.lit(True)) if status else some)
+
+    split = raw.select(*hidden, tokenizer.where(tokenizer.raw_fields(F.col("_raw"), d), wanted).alias("_f"))
+    if status:
+        split = split.withColumn("_s", state(F.col("_f")))
     mapped = header.remap(names, o)
     kept = select_names(mapped, o)
     kinds = types or {}
-    cell = lambda i: V.clean(F.get("_f", F.lit(i)), o)
+    cell = lambda i: V.clean(tokenizer.cell(F.get("_f", F.lit(i)), d), o)
     out = [V.convert(cell(i), n, kinds.get(n), o).alias(n) for i, n in enumerate(mapped) if n in kept]
     more = [F.col("_s").alias(status)] if status else []
     return split.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], *out, *more)
