@@ -34,7 +34,19 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a table in the shared folder, which outlives any executor."""
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rowsmith_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that `materialize` wrote and that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_rowsmith_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -51,7 +63,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package also where the driver found it through sys.path alone."""
+    """Lets Python workers import this package also where the driver found it through sys.path alone, and keeps
+    the batches of texts that they get small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
@@ -66,26 +80,25 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     are plain shuffles, which AQE splits where a hub holds many edges (or broadcasts, by their size on disk). No
     neighbourhood is ever gathered in one row; the number of rounds is logarithmic in the longest chain.
     """
-    e = materialize(
-        spark,
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(),
-        "cc",
-    )
-    before = None
+    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")
+    e = materialize(spark, pairs.distinct(), "cc")
     for _ in range(most_rounds):
-        row = e.agg(F.count("*"), F.countDistinct("b"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        if not row[0] or row[0] == row[1] and row == before:
+        # done when every node is either the one end of stars or hangs on one star
+        ends = e.select(F.col("a").alias("n"), F.lit(0).alias("hangs")).unionByName(e.select(F.col("b").alias("n"), F.lit(1).alias("hangs")))
+        mixed = ends.groupBy("n").agg(F.sum("hangs").alias("k"), F.min("hangs").alias("low")).filter("k > 1 or k = 1 and low = 0")
+        if mixed.isEmpty():
             break
-        before = row
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialize(spark, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-low")
         # large star: a node's larger neighbours move to the smallest of its neighbours and itself
         large = materialize(spark, both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").distinct(), "cc-large")
         # small star: a node and its smaller neighbours move to the smallest of them
-        low = materialize(spark, large.groupBy("b").agg(F.min("a").alias("m")), "cc-low")
-        moved = large.filter("a <> b").join(low, "b")
-        small = low.select(F.col("m").alias("a"), "b").unionByName(moved.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")))
-        e = materialize(spark, small.filter("a < b").distinct(), "cc")
+        least = materialize(spark, large.groupBy("b").agg(F.min("a").alias("m")), "cc-low")
+        moved = large.join(least, "b")
+        small = least.select(F.col("m").alias("a"), "b").unionByName(moved.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")))
+        new = materialize(spark, small.filter("a < b").distinct(), "cc")
+        release(e, low, large, least)
+        e = new
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(

@@ -3,16 +3,18 @@
 A document is its set of distinct word shingles, known by 64-bit hashes; equal sets are one node, named by a
 hash of the set. The global n-gram order puts rare shingles first (those found frequent come last, by count).
 
-Candidates: two sets with Jaccard similarity t or more share one of the first |x| - ceil(t|x|) + 1 shingles of
-each, so only these prefixes meet, in buckets of their hashes; shingles of one node drop out there.
+Candidates: two sets with Jaccard similarity t or more share at least o = ceil(t / (1 + t) (|x| + |y|)) shingles,
+so one of the first |x| - o + 1 of x is among the first |y| - o + 1 of y. Prefixes of |x| - ceil(t|x|) + 1 cover
+every partner; they meet in buckets of their hashes with their places, and shingles of one node drop out there.
 Verification, by vertical partitioning: the order is cut into fragments (the frequent shingles are the last),
 each fragment of a pair counts its partial overlap separately, and the counts are summed per pair. Before that,
-parity bitmaps of about a bit a shingle reject pairs whose symmetric difference is provably too large.
+parity bitmaps of SKETCH bits a shingle reject pairs whose symmetric difference is provably too large.
 
 Groups of thousands of near copies would give all their pairs, so links are found in rounds: every node is first
 compared with the one pivot it shares most prefix shingles with, and what links is contracted; rounds repeat while
-prefixes are contested between components; then all pairs between different components that still share a prefix
-shingle are compared, so no link between components is lost and no pair inside one is made.
+prefixes are contested between components. Then all pairs between different components that still share a prefix
+shingle pass through the bitmaps; each node's most promising pair is verified and contracted, and at last every
+pair that is still between components. So no link between components is lost, and no pair inside one is made.
 
 Statistics cover every document. The frequent shingles are at most mean set size / `tau` many, which bounds the
 broadcast; sets travel only for documents in candidate pairs, found through a Bloom filter of bounded size.
@@ -40,16 +42,24 @@ from rowsmith.llm.common import (
     groups,
     in_bloom,
     materialize,
+    release,
     salted_lookup,
     shuffle_partitions,
 )
 
 WIDTH, PERCENT = 5, 75
 #: A shingle of this share of the documents, and of at least LEAST, comes late in the order.
-TAU, LEAST = 1 / 2000, 8
+TAU, LEAST = 1 / 20000, 8
 FRAGMENTS = 8
-STAR_ROUNDS = 3
-GROUP = 4_000_000
+#: Star rounds end when one links fewer than this share of the nodes, or after so many.
+STAR_SHARE, STAR_ROUNDS = 0.003, 2
+SKETCH = 4
+#: Shares (of the last number) of what pairs have in common, by a hash, that are looked at before what that links is
+#: contracted: pairs with much in common come up early, and few of a large group's pairs come up at all.
+DRAWS = (0, 1, 8, 64)
+#: So often, at most, are only the most promising pairs of many verified.
+SETTLE_ROUNDS = 3
+GROUP = 2_000_000
 ENTRIES = 1_000_000
 
 
@@ -74,11 +84,11 @@ def set_names(found: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def sketches(found: np.ndarray, cut: np.ndarray) -> list[bytes]:
-    """Parity bitmaps: bit i says whether an odd number of a set's hashes fall on i. A bit a shingle, at least 64."""
+    """Parity bitmaps: bit i says whether an odd number of a set's hashes fall on i. SKETCH bits a shingle or more."""
     out = []
     mixed = K.mix(found)
     for a, b in zip(cut, cut[1:], strict=False):
-        bits = 1 << max(6, int(b - a - 1).bit_length()) if b > a else 64
+        bits = 1 << max(6, (SKETCH * int(b - a) - 1).bit_length()) if b > a else 64
         odd = np.bincount((mixed[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
     return out
@@ -153,19 +163,19 @@ class Order:
 
 
 def postings(docs: DataFrame, order, width: int, percent: int, buckets: int) -> DataFrame:
-    """(shingle, node, n) of every prefix shingle that several nodes share."""
+    """(shingle, node, n, pos: place in the node's order) of every prefix shingle that several nodes share."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            shingle, node, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            shingle, node, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             b = (shingle % np.uint64(buckets)).astype(np.int64)
             o = np.argsort(b, kind="stable")
-            shingle, node, n, b = shingle[o], node[o], n[o], b[o]
+            shingle, node, n, pos, b = shingle[o], node[o], n[o], pos[o], b[o]
             first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
             ends = [*first[1:].tolist(), len(b)]
-            blobs = [shingle[x:y].tobytes() + node[x:y].tobytes() + n[x:y].tobytes() for x, y in zip(first, ends, strict=True)]
+            blobs = [b"".join(v[x:y].tobytes() for v in (shingle, node, n, pos)) for x, y in zip(first, ends, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(b[first].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
         for _, i, j, found, cut in _sets(batches, 0, width):
@@ -182,7 +192,7 @@ def postings(docs: DataFrame, order, width: int, percent: int, buckets: int) ->
             place = np.arange(len(text)) - np.searchsorted(text, text)
             size_of = n[text]
             head = place < size_of - -(-size_of * percent // 100) + 1
-            held.append((found[head], name[text[head]], size_of[head].astype(np.int32)))
+            held.append((found[head], name[text[head]], size_of[head].astype(np.int32), place[head].astype(np.int32)))
             size += int(head.sum())
             if size > ENTRIES:
                 yield flush()
@@ -194,26 +204,26 @@ def postings(docs: DataFrame, order, width: int, percent: int, buckets: int) ->
         for table in groups(batches, 1):
             parts = []
             for raw in table.column("entries").to_pylist():
-                m = len(raw) // 20
-                parts.append((np.frombuffer(raw, np.int64, m), np.frombuffer(raw, np.int64, m, 8 * m), np.frombuffer(raw, np.int32, m, 16 * m)))
-            shingle, node, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                m = len(raw) // 24
+                parts.append(tuple(np.frombuffer(raw, k, m, at * m) for k, at in ((np.int64, 0), (np.int64, 8), (np.int32, 16), (np.int32, 20))))
+            shingle, node, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
             o = np.lexsort((node, shingle))
-            shingle, node, n = shingle[o], node[o], n[o]
+            shingle, node, n, pos = shingle[o], node[o], n[o], pos[o]
             new = np.ones(len(o), bool)
             new[1:] = (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])
-            shingle, node, n = shingle[new], node[new], n[new]
+            shingle, node, n, pos = shingle[new], node[new], n[new], pos[new]
             same = shingle[1:] == shingle[:-1]
             many = np.zeros(len(shingle), bool)
             many[1:] |= same
             many[:-1] |= same
             for lo in range(0, int(many.sum()), 100_000):
                 at = np.flatnonzero(many)[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[at]), pa.array(node[at]), pa.array(n[at])], names=["shingle", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[at]), pa.array(node[at]), pa.array(n[at]), pa.array(pos[at])], names=["shingle", "node", "n", "pos"])
 
     blobs = docs.select("text").mapInArrow(prefixes, "bucket int, entries binary")
     spark = docs.sparkSession
     dealt = blobs.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(shared, "shingle long, node long, n int")
+    return dealt.mapInArrow(shared, "shingle long, node long, n int, pos int")
 
 
 class Join:
@@ -242,12 +252,18 @@ class Join:
         """Sets as similar as asked for differ no more in size than this."""
         return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of those pairs (a, b) of nodes that are similar enough."""
+    def early_enough(self):
+        """Whether a shingle at places pa and pb of sets of na and nb can be the first that similar sets share."""
+        p = self.percent
+        least = F.floor((p * (F.col("na") + F.col("nb")).cast("long") + 99 + p) / (100 + p))
+        return (F.col("pa") <= F.col("na") - least) & (F.col("pb") <= F.col("nb") - least)
+
+    def sieve(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, na, nb, least: bound of the symmetric difference) of the pairs (a, b, na, nb) that bitmaps admit."""
         spark, percent = self.spark, self.percent
         pairs = materialize(spark, pairs, "join-pairs")
-        one = lambda s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-        both = pairs.join(one("a"), "a").join(one("b"), "b").filter(self.close_in_size())
+        one = lambda s: self.nodes.select(F.col("node").alias(s), F.col("sketch").alias(f"s{s}"))
+        both = pairs.join(one("a"), "a").join(one("b"), "b")
 
         def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -256,9 +272,16 @@ class Join:
                 # overlap is (na + nb - difference) / 2, and (100 + percent) * overlap must reach percent * (na + nb)
                 total = na.astype(np.int64) + nb
                 ok = (100 + percent) * (total - least) >= 2 * percent * total
-                yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a, b, na, nb)], names=["a", "b", "na", "nb"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a, b, na, nb, least)], names=["a", "b", "na", "nb", "least"])
+
+        met = both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(possible, "a long, b long, na int, nb int, least long")
+        out = materialize(spark, met, "join-possible")
+        release(pairs)
+        return out
 
-        left = materialize(spark, both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(possible, "a long, b long, na int, nb int"), "join-possible")
+    def verify(self, left: DataFrame) -> DataFrame:
+        """(a, b) of those pairs (a, b, na, nb) that are similar enough: overlaps per fragment, summed per pair."""
+        spark, percent = self.spark, self.percent
         wanted = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
         segments = materialize(spark, self._segments(wanted.join(self.nodes.select("node", "k"), "node")), "join-segments")
         mine = segments.withColumnsRenamed({"node": "a", "bytes": "x"})
@@ -274,7 +297,9 @@ class Join:
         met = left.join(mine, "a").join(theirs, ["b", "fragment"]).select("a", "b", "na", "nb", "x", "y")
         sums = met.mapInArrow(overlap, "a long, b long, na int, nb int, part long").groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
         enough = F.col("overlap") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-        return materialize(spark, sums.filter(enough).select("a", "b"), "join-links")
+        out = materialize(spark, sums.filter(enough).select("a", "b"), "join-links")
+        release(segments)
+        return out
 
     def _segments(self, wanted: DataFrame) -> DataFrame:
         """(node, fragment, bytes: hashes ascending) of the wanted nodes (node, k)."""
@@ -312,46 +337,106 @@ def components(join: Join, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     spark = join.spark
     posts = postings(join.docs, join.order, join.width, join.percent, 4 * shuffle_partitions(spark))
     posts = materialize(spark, posts.withColumn("comp", F.col("node")), "join-postings")
-    edges = None
     member = None
+    n_nodes = join.nodes.count()
 
     def contract(new: DataFrame) -> None:
-        nonlocal edges, member
-        edges = new if edges is None else edges.unionByName(new)
-        member = materialize(spark, connected_components(spark, edges), "join-member")
+        """Unites the components that new links (a, b) join."""
+        nonlocal member
+        if member is None:
+            member = materialize(spark, connected_components(spark, new), "join-member")
+            return
+        label = lambda s: member.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+        ends = new.join(label("a"), "a", "left").join(label("b"), "b", "left")
+        united = connected_components(spark, ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+        united = materialize(spark, united.select(F.col("node").alias("old"), F.col("component").alias("root")), "join-united")
+        known = member.join(united, member["component"] == united["old"], "left").select("node", F.coalesce("root", "component").alias("component"))
+        fresh = united.join(member, united["old"] == member["node"], "left_anti").select(F.col("old").alias("node"), F.col("root").alias("component"))
+        old, member = member, materialize(spark, known.unionByName(fresh), "join-member")
+        release(old, united)
 
     def contested(posts: DataFrame) -> DataFrame:
         if member is not None:
-            posts = posts.drop("comp").join(member, "node", "left").select(
-                "shingle", "node", "n", F.coalesce("component", "node").alias("comp"))
-        return materialize(spark, posts, "join-postings")
+            new = posts.drop("comp").join(member, "node", "left").select(
+                "shingle", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
+            new = materialize(spark, new, "join-postings")
+            release(posts)
+            return new
+        return posts
+
+    def narrow(posts: DataFrame, shingles: DataFrame) -> DataFrame:
+        new = materialize(spark, posts.join(shingles.select("shingle"), "shingle", "left_semi"), "join-postings")
+        release(posts)
+        return new
+
+    def settle(rest: DataFrame) -> bool:
+        """Verifies and contracts pairs; of many, first each node's most promising one, and again among what is
+        still apart, then all."""
+        some = False
+        label = lambda s: member.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+        for _ in range(SETTLE_ROUNDS):
+            if rest.count() <= n_nodes // 16:
+                break
+            both = rest.select(F.col("a").alias("x"), "*").unionByName(rest.select(F.col("b").alias("x"), "*"))
+            best = both.groupBy("x").agg(F.min_by(F.struct("a", "b", "na", "nb"), F.struct("least", "a", "b")).alias("p"))
+            best = materialize(spark, best.select("p.*").distinct(), "join-best")
+            found = join.verify(best)
+            left = rest.join(best.select("a", "b"), ["a", "b"], "left_anti")
+            if not found.isEmpty():
+                some = True
+                contract(found)
+                left = left.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+            left = materialize(spark, left.select("a", "b", "na", "nb", "least"), "join-rest")
+            release(rest, best, found)
+            rest = left
+        if not rest.isEmpty():
+            found = join.verify(rest)
+            if not found.isEmpty():
+                some = True
+                contract(found)
+            release(found)
+        release(rest)
+        return some
 
     for r in range(star_rounds):
-        pivot = F.min_by(F.struct("node", "comp", "n"), F.xxhash64(F.lit(r), F.col("node")))
+        pivot = F.min_by(F.struct("node", "comp", "n", "pos"), F.xxhash64(F.lit(r), F.col("node")))
         pivots = materialize(
             spark,
             posts.groupBy("shingle").agg(pivot.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-            .select("shingle", F.col("p.node").alias("a"), F.col("p.comp").alias("ca"), F.col("p.n").alias("na")),
+            .select("shingle", F.col("p.node").alias("a"), F.col("p.comp").alias("ca"), F.col("p.n").alias("na"), F.col("p.pos").alias("pa")),
             "join-pivots",
         )
         if pivots.isEmpty():
             return member if member is not None else _none(spark)
-        posts = materialize(spark, posts.join(pivots.select("shingle"), "shingle", "left_semi"), "join-postings")
-        near = posts.select("shingle", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")).join(pivots, "shingle")
-        shared = near.filter("ca <> cb").filter(join.close_in_size()).groupBy("a", "b").agg(F.count("*").alias("shared"))
-        best = shared.groupBy("b").agg(F.max_by("a", F.struct("shared", F.xxhash64("a"))).alias("a"))
-        found = join.links(best.select("a", "b"))
-        if not found.isEmpty():
+        posts = narrow(posts, pivots)
+        near = posts.select("shingle", *(F.col(x).alias(y) for x, y in (("node", "b"), ("comp", "cb"), ("n", "nb"), ("pos", "pb")))).join(pivots, "shingle")
+        shared = near.filter("ca <> cb").filter(join.close_in_size()).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+        best = shared.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("shared", F.xxhash64("a"))).alias("p"))
+        found = join.verify(join.sieve(best.select("p.a", "b", "p.na", "p.nb")))
+        release(pivots)
+        linked = found.count()
+        if linked:
             contract(found)
             posts = contested(posts)
-    # What is left: every pair of different components that shares a prefix shingle.
-    mixed = posts.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle")
-    posts = materialize(spark, posts.join(mixed, "shingle", "left_semi"), "join-postings")
-    side = lambda s: posts.select("shingle", F.col("node").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"))
-    pairs = side("a").join(side("b"), "shingle").filter("a < b and ca <> cb").filter(join.close_in_size()).select("a", "b").distinct()
-    found = join.links(pairs)
-    if not found.isEmpty():
-        contract(found)
+        release(found)
+        if linked < STAR_SHARE * n_nodes:
+            break
+    # What is left: every pair of different components that shares a prefix shingle, in growing draws, so that a node
+    # near a large component is compared with few of its members before it joins.
+    for lo, hi in zip(DRAWS, DRAWS[1:], strict=False):
+        mixed = posts.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle")
+        posts = narrow(posts, mixed)
+        if posts.isEmpty():
+            break
+        side = lambda s: posts.select("shingle", *(F.col(x).alias(f"{y}{s}") for x, y in (("node", ""), ("comp", "c"), ("n", "n"), ("pos", "p"))))  # noqa: E731, B023
+        # the smaller set of a pair meets the larger early in its order, which leaves most of a long list out on one side
+        inner = side("a").filter(F.col("pa") <= F.col("na") - F.ceil(F.col("na") * (2 * join.percent) / (100 + join.percent)))
+        apart = "ca <> cb and (na < nb or na = nb and a < b)"
+        drawn = F.pmod(F.xxhash64("a", "b", "shingle"), F.lit(DRAWS[-1]))
+        pairs = inner.join(side("b"), "shingle").filter(apart).filter((drawn >= lo) & (drawn < hi)).filter(join.early_enough())
+        found = settle(join.sieve(pairs.select("a", "b", "na", "nb").distinct()))
+        if found:
+            posts = contested(posts)
     return member if member is not None else _none(spark)
 
 
@@ -388,3 +473,18 @@ def similar(
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+f AS (SELECT doc_id, unnest(s) AS g FROM s),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT x, y FROM shared JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * k >= 75 * (p.n + q.n - k)),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT n.doc_id, n.n AS n_shingles, min(y) AS component_id FROM n JOIN reach ON n.doc_id = reach.x GROUP BY ALL
+"""
