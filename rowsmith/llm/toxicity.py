@@ -4,7 +4,7 @@ A token is read through a hashed embedding of its word (ASCII-lowered, without A
 the mean of hashed embeddings of its byte n-grams (3 to 5 bytes, with marks at both ends), so inflected and
 unseen forms are known by their parts. A text is cut into windows of WINDOW tokens, half overlapping; forward and
 backward gated units read each window, attention pools their states, and the text's score is that of its
-strongest window after a logistic calibration that knows how many windows it had.
+strongest window after a logistic calibration.
 
 Only texts are labelled, so training alternates: the current model picks the strongest windows of toxic texts as
 positives and the strongest and some random windows of clean texts as negatives, then back-propagation through
@@ -13,7 +13,7 @@ time fits them. It starts from embeddings that hold each feature's log odds in t
 The labelled sample is bounded: at most `per_class` texts of each label, the first by a hash of their id
 (a documented parameter); a fifth of it is kept for the calibration. All texts are scored whole.
 
-Defined cases: a null or empty text is one empty window and is scored like any other; null ids are scored, and
+Defined cases: a null or empty text is one empty window with the lowest score; null ids are scored, and
 never learnt from; repeated rows are rows of their own; without labels of both kinds every score is 0; other
 columns are not read.
 """
@@ -112,7 +112,7 @@ class Net:
         }
         for d in "fb":
             self.p |= {f"x{d}": small(2 * DIM, 3 * HIDDEN), f"u{d}": small(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
-        self.calibration = (1.0, 0.0, 0.0)
+        self.calibration = (1.0, 0.0)
 
     def inputs(self, t: Tokens) -> np.ndarray:
         """The 2 * DIM input of each distinct word."""
@@ -294,9 +294,9 @@ def train(texts: pa.Array, label: np.ndarray, rounds: int = 4, batch: int = 128,
                 at = np.repeat(t.cut[used] - np.cumsum(each) + each, each) + np.arange(each.sum())
                 _sparse(net.p["grams"], sq_g, t.gram[at], np.repeat(dx[:, DIM:] / np.maximum(each, 1)[:, None], each, axis=0))
         strength = net.logits(t, first, length)
-    best, many = np.full(len(label), -np.inf), np.bincount(text, minlength=len(label))
+    best = np.full(len(label), -np.inf)
     np.maximum.at(best, text, strength)
-    net.calibration = calibrate(best[~fitted], many[~fitted], label[~fitted])
+    net.calibration = calibrate(best[~fitted], label[~fitted])
     return net
 
 
@@ -323,13 +323,13 @@ def _sparse(table: np.ndarray, squares: np.ndarray, at: np.ndarray, grad: np.nda
     table[rows] -= rate * total / np.sqrt(squares[rows])[:, None]
 
 
-def calibrate(best: np.ndarray, many: np.ndarray, label: np.ndarray) -> tuple[float, float, float]:
-    """(a, b, c) of p = sigmoid(a * logit + b * log(windows) + c), by ridged Newton steps; b is not above 0."""
+def calibrate(best: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """(a, c) of p = sigmoid(a * logit + c), by ridged Newton steps that are halved until the cost falls."""
     if not len(label) or label.min() == label.max():
-        return 1.0, 0.0, 0.0
-    x = np.stack([np.clip(best, -20, 20), np.log(many), np.ones(len(best))], axis=1).astype(np.float64)
-    w, prior = np.array([1.0, 0.0, 0.0]), np.array([1.0, 0.0, 0.0])
-    ridge = np.diag([1.0, 1.0, 0.1])
+        return 1.0, 0.0
+    x = np.stack([np.clip(best, -20, 20), np.ones(len(best))], axis=1).astype(np.float64)
+    w, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    ridge = np.diag([1.0, 0.1])
     cost = lambda w: np.logaddexp(0, -(2 * label - 1) * (x @ w)).sum() + 0.5 * (w - prior) @ ridge @ (w - prior)
     for _ in range(30):
         p = sigmoid(x @ w)
@@ -337,7 +337,7 @@ def calibrate(best: np.ndarray, many: np.ndarray, label: np.ndarray) -> tuple[fl
         while cost(w - step) > cost(w) and np.abs(step).max() > 1e-9:
             step = step / 2
         w = w - step
-    return float(w[0]), float(min(w[1], 0.0)), float(w[2])
+    return float(w[0]), float(w[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, per_class: int = PER_CLASS) -> Net | None:
@@ -367,7 +367,7 @@ def score(docs: DataFrame, net: Net | None, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
-        a, b, c = net.calibration
+        a, c = net.calibration
         for batch in batches:
             data, offsets = K.buffers(batch.column(batch.num_columns - 1))
             for i, j in K.pieces(offsets, 2 * K.PIECE):
@@ -375,7 +375,8 @@ def score(docs: DataFrame, net: Net | None, text_col: str = "text") -> DataFrame
                 first, length, text = t.windows()
                 best, many = np.full(j - i, -np.inf), np.bincount(text, minlength=j - i)
                 np.maximum.at(best, text, net.logits(t, first, length))
-                p = sigmoid(a * np.clip(best, -20, 20) + b * np.log(many) + c)
+                best[t.count == 0] = -20.0  # nothing said
+                p = sigmoid(a * np.clip(best, -20, 20) + c)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)), pa.array(p), pa.array(many.astype(np.int64))],
                     names=schema.fieldNames(),
