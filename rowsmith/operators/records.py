@@ -51,8 +51,10 @@ def joined(lines: DataFrame, d: Dialect, comment: str | None, first_record: int
     fresh = tokenizer.is_open(F.col("raw"), d)
     if comment:
         fresh = fresh & ~F.col("raw").rlike(comment)
+    # inside quotes, a line without any stays inside
+    within = (F.instr("raw", d.quote) == 0) | tokenizer.is_open(F.concat(F.lit(d.quote), F.col("raw")), d)
     base = lines.select("file", "file_line", "raw", F.floor(F.col("file_line") / stretch).alias("part")).select(
-        "*", fresh.cast("int").alias("f0"), tokenizer.is_open(F.concat(F.lit(d.quote), F.col("raw")), d).cast("int").alias("f1"))
+        "*", fresh.cast("int").alias("f0"), within.cast("int").alias("f1"))
     base = base.select("file", "file_line", "raw", "part", F.when(F.col("f0") == F.col("f1"), F.col("f0")).alias("const"), (F.col("f0") > F.col("f1")).cast("int").alias("flip"))
 
     def states(df: DataFrame, by: list[str], order: str) -> DataFrame:
