@@ -78,6 +78,22 @@ def fields(line: Column, d: Dialect) -> Column:
     return F.when(F.instr(line, d.quote) == 0, plain).otherwise(quoted)
 
 
+def quote_count(line: Column, d: Dialect, escaped: bool = False) -> Column:
+    """Quote characters of a line; with `escaped`, without those behind an odd run of backslashes."""
+    plain = F.regexp_replace(line, r"\\[\s\S]", "") if escaped else line
+    return F.length(plain) - F.length(F.replace(plain, F.lit(d.quote), F.lit("")))
+
+
+def take(array: Column, n: int) -> Column:
+    """The first n fields."""
+    return F.slice(array, 1, n)
+
+
+def as_map(names: list[str], array: Column) -> Column:
+    """Names to fields; null where a row is short."""
+    return F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.get(array, F.lit(i)))])
+
+
 def where(array: Column, keep) -> Column:
     """To be selected: the array, in rows where keep(array) holds; other rows vanish.
 

@@ -12,7 +12,7 @@ from rowsmith.functions import converters as C
 from rowsmith.functions import values as V
 from rowsmith.functions.dialect import Dialect
 from rowsmith.operators import records, sequence, writer
-from rowsmith.sources.reader import CsvReader, parse_column
+from rowsmith.sources.reader import CsvReader, parse_column, parse_documents
 from rowsmith.sources.scratch import scratch, ship
 from rowsmith.streaming.stream import import_chunks, read_stream
 
@@ -142,6 +142,15 @@ def legacy_boundary(spark, t):
     return found.select(F.get("fields", F.lit(0)).cast("bigint").alias("p_partkey"), F.get("fields", F.lit(1)).alias("p_name"))
 
 
+@query("SELECT p_brand, p_partkey, p_name FROM part")
+def texts_in_a_column(spark, t):
+    """Whole delimited texts in a column: one text, many rows, with quoted line ends."""
+    line = F.concat(F.col("p_partkey").cast("string"), F.lit(',"'), F.replace("p_name", F.lit(" "), F.lit("\n")), F.lit('"'))
+    texts = t("part").groupBy("p_brand").agg(F.concat(F.lit("key,name\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("body"))
+    rows = parse_documents(texts, "body", "p_brand", ["p_partkey", "p_name"], types={"p_partkey": "bigint"})
+    return rows.select("p_brand", "p_partkey", F.replace("p_name", F.lit("\n"), F.lit(" ")).alias("p_name"))
+
+
 # --- files: dialect, header, layout -------------------------------------------------------------------------
 
 

@@ -1,7 +1,8 @@
 """`spark.read.format("rowsmith")`: a Python data source over the reader's framing, a partition a file.
 
 Plain functions (`rowsmith.read`) prune columns and split files; this form is for SQL and for callers that can
-only name a format. Types come from the schema given; without one every column is text.
+only name a format. Types come from the schema given; without one every column is text. Paths are of file systems
+that are mounted on every machine.
 """
 
 from __future__ import annotations
@@ -73,3 +74,8 @@ class RowsmithReader(DataSourceReader):
         for r in frame(body, Dialect.of(o, sep, row_sep)):
             if r.status == "ok" and any(x.strip() for x in r.fields):
                 yield tuple((r.fields[i] or None) if i < len(r.fields) else None for i in at)
+
+
+def register(spark) -> None:
+    """Makes `spark.read.format("rowsmith")` and `CREATE TEMPORARY VIEW ... USING rowsmith` known."""
+    spark.dataSource.register(RowsmithSource)

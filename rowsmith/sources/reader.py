@@ -308,3 +308,32 @@ def parse_column(
     out = [V.convert(cell(i), n, kinds.get(n), o).alias(n) for i, n in enumerate(mapped) if n in kept]
     more = [F.col("_s").alias(status)] if status else []
     return split.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], *out, *more)
+
+
+def parse_documents(
+    df: DataFrame, column: str, key: str, names: list[str], types: dict[str, str] | None = None, header: bool = True,
+    row_sep: str = "\n", **options: Any,
+) -> DataFrame:
+    """Whole delimited texts held in a string column, each named by `key`, as their rows: key, csv_line_number, names.
+
+    One text gives many rows; records may span lines. Texts under one key are read as one after the other only if
+    the key is unique, so it has to be.
+    """
+    o = ReadOptions.of(**({"col_sep": ",", "quote_escaping": "double_quotes", "user_provided_headers": names, "headers_in_file": header} | options))
+    d = Dialect.of(o, o.col_sep, row_sep)
+    parts = F.posexplode(F.split(F.regexp_replace(f"`{column}`", tokenizer.java(row_sep) + r"\z", ""), tokenizer.java(row_sep), -1))
+    skip = (o.skip_lines or 0) + header
+    lines_ = df.select(F.col(f"`{key}`").cast("string").alias("file"), parts.alias("p", "raw")).withColumn("file_line", F.col("p").cast("long") + 1)
+    lines_ = lines_.filter(F.col("file_line") > skip).select("file", "file_line", "raw")
+    # a text is taken apart where it is: its lines stay in one stretch
+    framed = records.joined(lines_, d, o.comment_regexp, skip + 1, stretch=1 << 40)
+    state = records.judge(framed, len(names) if o.missing_headers == "raise" else None, o.field_size_limit)
+
+    def wanted(f: Column) -> Column:
+        ok = F.col("status") == "ok"
+        return ok & F.exists(f, lambda x: ~x.rlike(V.BLANK)) if o.remove_empty_hashes else ok
+
+    good = state.select("file", "csv_line", tokenizer.where(F.col("fields"), wanted).alias("fields"))
+    cells = [V.convert(V.clean(F.get("fields", F.lit(i)), o), n, (types or {}).get(n), o).alias(n) for i, n in enumerate(names)]
+    kind = dict(df.dtypes)[key]
+    return good.select(F.col("file").cast(kind).alias(key), F.col("csv_line").alias("csv_line_number"), *cells)

@@ -64,3 +64,23 @@ def test_streams_and_last_warnings(spark):
     CsvReader(spark, text='a\n"x', on_bad_row="collect").dataframe()
     assert rowsmith.last_errors().count() == 1
     assert re.search("quoted", rowsmith.last_errors().first()["error_message"])
+
+
+def test_diagnostics(spark):
+    from rowsmith.functions import tokenizer
+
+    df = spark.createDataFrame([('a"b\\"c""',)], "v string")
+    d = Dialect(",")
+    row = df.select(
+        tokenizer.quote_count(F.col("v"), d).alias("n"), tokenizer.quote_count(F.col("v"), d, True).alias("e"),
+        tokenizer.take(tokenizer.fields(F.lit("a,b,c"), d), 2).alias("t"), tokenizer.as_map(["x", "y"], F.array(F.lit("1"))).alias("m"),
+    ).first()
+    assert (row["n"], row["e"], row["t"], row["m"]) == (4, 3, ["a", "b"], {"x": "1", "y": None})
+
+
+def test_texts_in_a_column(spark):
+    import rowsmith
+
+    df = spark.createDataFrame([(7, 'n,v\n1,"a\nb"\n\n2,c\n'), (8, "n,v\n"), (9, 'n,v\n3,"open'), (10, None)], "id int, body string")
+    got = rowsmith.parse_documents(df, "body", "id", ["n", "v"], types={"n": "bigint"}).orderBy("id", "n").collect()
+    assert [tuple(r) for r in got] == [(7, 2, 1, "a\nb"), (7, 4, 2, "c")]
