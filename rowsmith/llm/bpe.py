@@ -29,9 +29,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-CACHE = 300_000
+CACHE = 120_000
 #: Texts are split and their new words encoded in groups of about so many characters.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 #: The split of the files that this module reads, with `\\s` spelled out.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 NONE = np.iinfo(np.int64).max
