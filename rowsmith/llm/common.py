@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -53,6 +54,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Gives memory that large arrays have left in this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
+def from_most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """Rows of the highest counts, at most `most`: a histogram over eighths of powers of two finds where they begin."""
+    level = F.floor(F.log2(n) * 8).cast("int")
+    bins = sorted(((r["l"], r["k"]) for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    low, total = None, 0
+    for at, k in bins:
+        if total + k > most:
+            break
+        low, total = at, total + k
+    return counts.filter(F.lit(False) if low is None else level >= low)
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -68,6 +89,9 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    # workers live on after a task: what they freed goes back to the system
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_MMAP_THRESHOLD_", "4194304"), ("MALLOC_TRIM_THRESHOLD_", "8388608")):
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 

@@ -16,8 +16,7 @@ prefixes are contested between components. Then all pairs between different comp
 shingle pass through the bitmaps; each node's most promising pair is verified and contracted, and at last every
 pair that is still between components. So no link between components is lost, and no pair inside one is made.
 
-Statistics cover every document. The frequent shingles are at most mean set size / `tau` many, which bounds the
-broadcast; sets travel only for documents in candidate pairs, found through a Bloom filter of bounded size.
+Statistics cover every document. The frequent shingles are at most FREQUENT, which bounds the broadcast; sets travel only for documents in candidate pairs, found through a Bloom filter of bounded size.
 
 Defined cases: a text with no word (null and empty texts too) has no shingle, links with nothing and is its own
 component; one of fewer words than `width` has its whole sequence as one shingle; rows with equal sets are linked;
@@ -39,17 +38,19 @@ from rowsmith.llm.common import (
     bloom,
     bloom_keys,
     connected_components,
+    from_most_frequent,
     groups,
     in_bloom,
     materialize,
     release,
     salted_lookup,
     shuffle_partitions,
+    trim,
 )
 
 WIDTH, PERCENT = 5, 75
-#: A shingle of this share of the documents, and of at least LEAST, comes late in the order.
-TAU, LEAST = 1 / 20000, 8
+#: Shingles of at least LEAST documents come late in the order: of the most frequent ones, at most FREQUENT (16 bytes each).
+LEAST, FREQUENT = 6, 1 << 20
 FRAGMENTS = 8
 #: Star rounds end when one links fewer than this share of the nodes, or after so many.
 STAR_SHARE, STAR_ROUNDS = 0.003, 2
@@ -59,8 +60,8 @@ SKETCH = 4
 DRAWS = (0, 1, 8, 64)
 #: So often, at most, are only the most promising pairs of many verified.
 SETTLE_ROUNDS = 3
-GROUP = 2_000_000
-ENTRIES = 1_000_000
+GROUP = 1_000_000
+ENTRIES = 300_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,16 +230,16 @@ def postings(docs: DataFrame, order, width: int, percent: int, buckets: int) ->
 class Join:
     """One run: the documents' sets, and what verifies pairs of them."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, tau: float, fragments: int) -> None:
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, frequent: int, fragments: int) -> None:
         self.spark, self.width, self.percent, self.fragments = docs.sparkSession, width, percent, fragments
         text = F.col(f"`{text_col}`").cast("string")
         key = F.xxhash64(F.col("id").cast("string"), F.octet_length("text"))
         self.docs = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).select("id", key.alias("k"), "text")
         seen = materialize(self.spark, describe(self.docs, width), "join-seen")
         self.rows = seen.filter("k is not null").select("k", "id", "n", "node", "sketch")
-        n_docs = self.rows.count()
         often = seen.filter("k is null").groupBy("shingle").agg(F.sum("times").alias("times"))
-        often = often.filter(F.col("times") >= max(LEAST, n_docs * tau)).toArrow()
+        often = materialize(self.spark, often.filter(F.col("times") >= LEAST), "join-often")
+        often = from_most_frequent(often, "times", frequent).toArrow()
         self.order = self.spark.sparkContext.broadcast(
             Order(often.column("shingle").to_numpy().view(np.uint64).copy(), often.column("times").to_numpy().copy()))
         # one row a node; k finds a document that has the set
@@ -446,11 +447,12 @@ def _none(spark: SparkSession) -> DataFrame:
 
 def similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
-    tau: float = TAU, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS,
+    frequent: int = FREQUENT, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS,
 ) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
-    join = Join(docs, id_col, text_col, width, percent, tau, fragments)
+    join = Join(docs, id_col, text_col, width, percent, frequent, fragments)
+    trim()
     member = components(join, star_rounds)
     salt = F.pmod(F.xxhash64("k"), F.lit(max(32, shuffle_partitions(spark)))).cast("int")
     rows = join.rows.select("id", "n", "node", salt.alias("salt"))
