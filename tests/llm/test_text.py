@@ -235,6 +235,37 @@ def test_quality_without_trust(spark):
     assert quality.classify(docs(spark, []), labels).count() == 0
 
 
+def test_quality_of_thinly_labelled_languages(spark):
+    """A language with few or no trusted texts isn't judged by the large ones' threshold; its junk goes where it can tell."""
+    rng = random.Random(9)
+    other = [a + b for a in ("zu", "qe", "vy", "wø", "jh") for b in ("p", "gg", "sk", "fa", "th", "o")]
+    rows = [(i, prose(rng, rng.randint(20, 120), VOCAB), "en") for i in range(600)]
+    thin = [(5000 + i, prose(rng, rng.randint(20, 120), other), "thin") for i in range(300)]
+    none = [(6000 + i, prose(rng, rng.randint(20, 120), [w[::-1] + "r" for w in other]), "none") for i in range(100)]
+    junk = [(7000 + i, " ".join(w.upper() + f"#{rng.randint(0, 10**6)}!" for w in prose(rng, 60, other).split()), "thin") for i in range(30)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows] + [(i, 1, 0) for i, _, _ in thin[:50]], "doc_id long, quality int, toxic int")
+    keep = {r["doc_id"]: r["keep"] for r in quality.classify(docs(spark, rows + thin + none + junk), labels).collect()}
+    assert sum(keep[i] for i, _, _ in thin) > 0.97 * len(thin)
+    assert all(keep[i] for i, _, _ in none)
+    assert not any(keep[i] for i, _, _ in junk)
+    assert sum(keep[i] for i, _, _ in rows) > 0.97 * len(rows)
+
+
+def test_quality_sample_has_every_language(spark):
+    rows = [(100 * k + i, f"w{k} x{i}", f"l{k}") for k in range(20) for i in range(12)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    _, sample = quality.fit(docs(spark, rows), labels, "doc_id", "text", "lang")
+    assert {r["_id"] // 100 for r in sample.collect()} == set(range(20))
+
+
+def test_limits_from_few_values():
+    assert quality.student(0.995, 1) == pytest.approx(63.657, rel=2e-3)
+    assert quality.student(0.995, 29) == pytest.approx(2.7564, rel=1e-3)
+    assert quality.upper_limit([9.7], 0.995) == quality.upper_limit([9.7] * 9, 0.995) == math.inf
+    x = np.random.default_rng(0).normal(9, 0.3, 30)
+    assert x.max() < quality.upper_limit([*x, 2.0, 3.0], 0.995) < 10.5
+
+
 # --- operator 1
 
 
