@@ -27,7 +27,10 @@ def _open(path: str, options: dict) -> tuple[ReadOptions, str, str, list[str | N
     o = ReadOptions.of(**given)
     with open(path, encoding=o.file_encoding, newline="", errors="replace") as f:
         sample = f.read(65536).removeprefix("﻿")
-    row_sep = sniff.row_sep(sample, o, lambda *a: None) if o.row_sep == "auto" else o.row_sep
+        row_sep = sniff.row_sep(sample, o, lambda *a: None) if o.row_sep == "auto" else o.row_sep
+        # the sniffed beginning may end before the header does
+        while sample.count(row_sep) <= (o.skip_lines or 0) and (part := f.read(max(len(sample), 65536))):
+            sample += part
     rest = sample.split(row_sep)[o.skip_lines or 0 :]
     sep = sniff.col_sep(row_sep.join(rest), o, row_sep) if o.col_sep == "auto" else o.col_sep
     names = header.names_of(rest[0] if rest and rest[0] else None, o, sep)

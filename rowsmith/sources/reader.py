@@ -65,8 +65,19 @@ class CsvReader:
         encoding, skip = sniff.mark(data)
         if encoding and encoding != "utf-8" and lines.is_utf8(self.options):
             self.options.file_encoding = encoding
-        sample = lines.decoder(self.options)(data[skip:])
-        self._open(sample)
+        decode = lines.decoder(self.options)
+        sample, size = decode(data[skip:]), lines.MAX_SNIFF
+
+        def more() -> str | None:
+            """A longer beginning of the first file, or None where there is no more."""
+            nonlocal data, size
+            if text is not None or len(data) < size:
+                return None
+            size *= 4
+            data = lines.head(spark, path, size)[0]
+            return decode(data[skip:])
+
+        self._open(sample, more)
         self._rows: DataFrame | None = None
         self.chunk_count = 0
         _last.warnings, _last.errors = self.warnings, None
@@ -80,11 +91,14 @@ class CsvReader:
         if self.options.verbose != "quiet":
             log.warning(message)
 
-    def _open(self, sample: str) -> None:
+    def _open(self, sample: str, more: Callable[[], str | None]) -> None:
         o = self.options
         self.row_sep = sniff.row_sep(sample, o, self._warn) if o.row_sep == "auto" else o.row_sep
         parts = sample.split(self.row_sep)
         skip = o.skip_lines or 0
+        # the sniffed beginning may end before the header does
+        while len(parts) < skip + 1 + bool(o.headers_in_file) and (longer := more()) is not None:
+            parts = longer.split(self.row_sep)
         rest = parts[skip:]
         self.raw_header = (rest[0] if rest and (rest[0] or len(rest) > 1) else None) if o.headers_in_file else None
         self.col_sep = sniff.col_sep(self.row_sep.join(rest), o, self.row_sep) if o.col_sep == "auto" else o.col_sep

@@ -283,3 +283,23 @@ def test_maps_to_columns(spark):
 
     df = spark.createDataFrame([({"x": "1", "y": "2"},), ({"y": "3", "z": "4"},)], "m map<string,string>")
     assert sorted(from_maps(df, "m").columns) == ["x", "y", "z"]
+
+
+@pytest.mark.parametrize("gz", [False, True])
+@pytest.mark.parametrize("preamble", [0, 3])
+def test_header_past_the_sniffed_beginning(spark, put, preamble, gz):
+    """Header lines and preambles longer than the 64 KB that are sniffed."""
+    names = [f"{'long_' * 900}{i}" for i in range(20 if not preamble else 3)]
+    body = "".join(f"note {i} " + "x" * 120_000 + "\n" for i in range(preamble)) + ",".join(names) + "\n" + ",".join(str(i) for i in range(len(names))) + "\n"
+    path = put("wide.csv.gz" if gz else "wide.csv", gzip.compress(body.encode()) if gz else body)
+    reader = CsvReader(spark, path, skip_lines=preamble or None, row_sep="\n", col_sep=",", missing_headers="raise")
+    assert reader.headers == names
+    assert [r[names[-1]] for r in reader.dataframe().select(names[-1]).collect()] == [len(names) - 1]
+
+
+def test_data_source_header_past_the_sniffed_beginning(put):
+    from rowsmith.sources.datasource import RowsmithSource
+
+    names = [f"a_rather_long_column_name_{i:05d}" for i in range(3000)]
+    path = put("wide.csv", "note\n" + ",".join(names) + "\n" + ",".join("1" for _ in names) + "\n")
+    assert RowsmithSource({"path": path, "skip_lines": "1"}).schema().fieldNames() == names
