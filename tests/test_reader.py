@@ -303,3 +303,20 @@ def test_data_source_header_past_the_sniffed_beginning(put):
     names = [f"a_rather_long_column_name_{i:05d}" for i in range(3000)]
     path = put("wide.csv", "note\n" + ",".join(names) + "\n" + ",".join("1" for _ in names) + "\n")
     assert RowsmithSource({"path": path, "skip_lines": "1"}).schema().fieldNames() == names
+
+
+# --- streaming
+
+
+def test_stream_drops_only_the_first_line(spark, put, tmp_path):
+    """A data row that equals the header stays; the header goes from each file."""
+    from rowsmith.streaming import stream
+
+    (tmp_path / "in").mkdir()
+    put("in/a.csv", "\ufeffid, Name\n1,x\nid,name\n2,y\n")
+    put("in/b.csv", "id,name\n3,z\n")
+    put("in/c.csv", "4,w\nid,name\n")
+    got = []
+    query = stream.import_chunks(stream.read_stream(spark, str(tmp_path / "in"), ["id", "name"], types={}), lambda df, _: got.extend((r["id"], r["name"]) for r in df.collect()), str(tmp_path / "cp"))
+    query.awaitTermination(60)
+    assert sorted(got, key=str) == sorted([("1", "x"), ("id", "name"), ("2", "y"), ("3", "z"), ("4", "w"), ("id", "name")], key=str)
