@@ -1,19 +1,23 @@
 """`spark.read.format("rowsmith")`: a Python data source over the reader's framing, a partition a file.
 
 Plain functions (`rowsmith.read`) prune columns and split files; this form is for SQL and for callers that can
-only name a format. Types come from the schema given; without one every column is text. Paths are of file systems
+only name a format. Bad rows raise, unless `on_bad_row` is skip; `collect` has nowhere to put them and is refused, as is
+`bad_row_limit`, which no partition can count alone. Types come from the schema given; without one every column is text. Paths are of file systems
 that are mounted on every machine.
 """
 
 from __future__ import annotations
 
 import glob
+import re
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+from rowsmith.errors import ValidationError
 from rowsmith.functions.dialect import Dialect, frame
+from rowsmith.operators.quarantine import ERRORS
 from rowsmith.options import ReadOptions
 from rowsmith.plans import header
 from rowsmith.sources import sniff
@@ -21,6 +25,10 @@ from rowsmith.sources import sniff
 
 def _open(path: str, options: dict) -> tuple[ReadOptions, str, str, list[str | None], int]:
     given = {k: v for k, v in options.items() if k in ReadOptions.__dataclass_fields__}
+    if given.get("on_bad_row", "raise") not in ("raise", "skip"):
+        raise ValidationError("format rowsmith: on_bad_row must be raise or skip")
+    if "bad_row_limit" in given:
+        raise ValidationError("format rowsmith: bad_row_limit is not supported")
     for k in ("skip_lines", "field_size_limit"):
         if k in given:
             given[k] = int(given[k])
@@ -74,8 +82,18 @@ class RowsmithReader(DataSourceReader):
         body = lines()
         for _ in range(skip):
             next(body, None)
-        for r in frame(body, Dialect.of(o, sep, row_sep)):
-            if r.status == "ok" and any(x.strip() for x in r.fields):
+        comment = re.compile(o.comment_regexp) if o.comment_regexp else None
+        for r in frame(body, Dialect.of(o, sep, row_sep), comment, skip + 1, skip + 1, o.field_size_limit):
+            status = r.status
+            if status == "ok" and o.missing_headers == "raise" and len(r.fields) > len(names):
+                status = "extra_columns"
+            elif status == "ok" and o.field_size_limit is not None and any(len(x.encode()) > o.field_size_limit for x in r.fields):
+                status = "field_too_large"
+            if status != "ok":
+                if o.on_bad_row == "raise":
+                    error, message = ERRORS[status]
+                    raise error(f"{message} ({partition.value}, line {r.file_line})")
+            elif any(x.strip() for x in r.fields):
                 yield tuple((r.fields[i] or None) if i < len(r.fields) else None for i in at)
 
 

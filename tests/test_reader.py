@@ -305,6 +305,26 @@ def test_data_source_header_past_the_sniffed_beginning(put):
     assert RowsmithSource({"path": path, "skip_lines": "1"}).schema().fieldNames() == names
 
 
+def test_data_source_bad_rows_comments_and_limits(put):
+    """Bad rows raise unless skipped; comments and the size limit count."""
+    from rowsmith.sources.datasource import RowsmithSource
+
+    def read(path, **options):
+        source = RowsmithSource({"path": path, "row_sep": "\n", "col_sep": ",", **options})
+        reader = source.reader(source.schema())
+        return [r for p in reader.partitions() for r in reader.read(p)]
+
+    open_quote = put("open.csv", 'a,b\n1,2\n3,"x\n5,6\n')
+    with pytest.raises(E.MalformedCSV, match="line 3"):
+        read(open_quote)
+    assert read(open_quote, on_bad_row="skip") == [("1", "2")]
+    assert read(put("c.csv", "a,b\n#1,2\n3,4\n"), comment_regexp="^#") == [("3", "4")]
+    with pytest.raises(E.FieldSizeLimitExceeded):
+        read(put("long.csv", "a,b\n1," + "x" * 50 + "\n"), field_size_limit="10")
+    with pytest.raises(E.ValidationError):
+        read(open_quote, on_bad_row="collect")
+
+
 # --- streaming
 
 
