@@ -50,7 +50,7 @@ from rowsmith.llm.common import (
 
 WIDTH, PERCENT = 5, 75
 #: Shingles of at least LEAST documents come late in the order: of the most frequent ones, at most FREQUENT (16 bytes each).
-LEAST, FREQUENT = 6, 1 << 20
+LEAST, FREQUENT = 3, 1 << 20
 FRAGMENTS = 8
 #: Star rounds end when one links fewer than this share of the nodes, or after so many.
 STAR_SHARE, STAR_ROUNDS = 0.003, 2
@@ -110,18 +110,26 @@ def _sets(batches: Iterator[pa.RecordBatch], at: int, width: int):
             yield batch, i, j, *shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
 
 
-def describe(docs: DataFrame, width: int) -> DataFrame:
-    """From (id, k, text): a row per document (k, id, n, node, sketch), and rows (shingle, times) of repeated shingles."""
-    id_type = docs.schema["id"].dataType.simpleString()
-
-    def repeated(parts: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
-        found, times = np.unique(np.concatenate(parts), return_counts=True)
-        found, times = found[times > 1], times[times > 1]
-        n = len(found)
-        blank = [pa.nulls(n, t) for t in (pa.int64(), kind, pa.int32(), pa.int64(), pa.binary())]
-        return pa.RecordBatch.from_arrays([*blank, pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
+def describe(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """From (id, k, text): a row per document (k, id, n, node, sketch), and rows (bucket, singles, repeats) of shingles.
 
-    names = ["k", "id", "n", "node", "sketch", "shingle", "times"]
+    A bucket is the first `bits` bits of a hash. Its blobs hold the 32 bits after them: of the shingles that a group of
+    documents has once, and, with their counts, of those that it has more often.
+    """
+    id_type = docs.schema["id"].dataType.simpleString()
+    names = ["k", "id", "n", "node", "sketch", "bucket", "singles", "repeats"]
+
+    def counted(parts: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        short, times = np.unique(np.concatenate(parts) >> np.uint64(32 - bits), return_counts=True)
+        bucket, low = (short >> np.uint64(32)).astype(np.int32), short.astype(np.uint32)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        once, often = [], []
+        for x, y in zip(first, [*first[1:].tolist(), len(short)], strict=True):
+            many = times[x:y] > 1
+            once.append(low[x:y][~many].tobytes())
+            often.append(low[x:y][many].tobytes() + times[x:y][many].astype(np.uint32).tobytes())
+        blank = [pa.nulls(len(first), t) for t in (pa.int64(), kind, pa.int32(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*blank, pa.array(bucket[first]), pa.array(once, pa.binary()), pa.array(often, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, kind = [], 0, None
@@ -130,32 +138,55 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).slice(i, j - i), batch.column(0).slice(i, j - i), pa.array(np.diff(cut).astype(np.int32)),
                  pa.array(set_names(found, cut).view(np.int64)), pa.array(sketches(found, cut), pa.binary()),
-                 pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.int64())], names=names,
+                 pa.nulls(j - i, pa.int32()), *(pa.nulls(j - i, pa.binary()) for _ in range(2))], names=names,
             )
             parts.append(found)
             size += len(found)
             if size > GROUP:
-                yield repeated(parts, kind)
+                yield counted(parts, kind)
                 parts, size = [], 0
-        if parts:
-            yield repeated(parts, kind)
+        if size:
+            yield counted(parts, kind)
+
+    return docs.mapInArrow(run, f"k long, id {id_type}, n int, node long, sketch binary, bucket int, singles binary, repeats binary")
 
-    return docs.mapInArrow(run, f"k long, id {id_type}, n int, node long, sketch binary, shingle long, times long")
+
+def document_frequencies(blobs: DataFrame, least: int) -> DataFrame:
+    """(short: first bits of a shingle's hash, times) of those that at least `least` documents have, from the blobs of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 1):
+            low, times = [], []
+            for once, often in zip(table.column("singles").to_pylist(), table.column("repeats").to_pylist(), strict=True):
+                low += [np.frombuffer(once, np.uint32), np.frombuffer(often, np.uint32, len(often) // 8)]
+                times += [np.ones(len(once) // 4, np.uint32), np.frombuffer(often, np.uint32, len(often) // 8, len(often) // 2)]
+            low, times = np.concatenate(low), np.concatenate(times)
+            o = np.argsort(low)
+            low, times = low[o], times[o]
+            first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+            total = np.add.reduceat(times.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+            often = total >= least
+            short = (np.int64(table.column("bucket")[0].as_py()) << 32) | low[first][often].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(short), pa.array(total[often])], names=["short", "times"])
+
+    dealt = blobs.repartition(shuffle_partitions(blobs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "short long, times long")
 
 
 class Order:
     """The global n-gram order: frequent shingles last, by count; all others by hash."""
 
-    def __init__(self, frequent: np.ndarray, times: np.ndarray) -> None:
+    def __init__(self, frequent: np.ndarray, times: np.ndarray, bits: int) -> None:
         o = np.argsort(frequent)
-        self.frequent, self.times = frequent[o], times[o]
+        self.frequent, self.times, self.shift = frequent[o], times[o].astype(np.int32), np.uint64(32 - bits)
 
     def weight(self, found: np.ndarray) -> np.ndarray:
         if not len(self.frequent):
-            return np.zeros(len(found), np.int64)
-        at = np.searchsorted(self.frequent, found)
+            return np.zeros(len(found), np.int32)
+        short = found >> self.shift
+        at = np.searchsorted(self.frequent, short)
         at[at == len(self.frequent)] = 0
-        return np.where(self.frequent[at] == found, self.times[at], 0)
+        return np.where(self.frequent[at] == short, self.times[at], 0)
 
     def fragment(self, found: np.ndarray, fragments: int) -> np.ndarray:
         """Fragment of each shingle: equal ranges of the hashes, and the frequent ones as the last."""
@@ -235,13 +266,15 @@ class Join:
         text = F.col(f"`{text_col}`").cast("string")
         key = F.xxhash64(F.col("id").cast("string"), F.octet_length("text"))
         self.docs = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).select("id", key.alias("k"), "text")
-        seen = materialize(self.spark, describe(self.docs, width), "join-seen")
+        bits = (4 * shuffle_partitions(self.spark) - 1).bit_length()
+        seen = materialize(self.spark, describe(self.docs, width, bits), "join-seen")
         self.rows = seen.filter("k is not null").select("k", "id", "n", "node", "sketch")
-        often = seen.filter("k is null").groupBy("shingle").agg(F.sum("times").alias("times"))
-        often = materialize(self.spark, often.filter(F.col("times") >= LEAST), "join-often")
-        often = from_most_frequent(often, "times", frequent).toArrow()
+        often = document_frequencies(seen.filter("bucket is not null").select("bucket", "singles", "repeats"), LEAST)
+        often = materialize(self.spark, often, "join-often")
+        top = from_most_frequent(often, "short", "times", frequent).toArrow()
+        release(often)
         self.order = self.spark.sparkContext.broadcast(
-            Order(often.column("shingle").to_numpy().view(np.uint64).copy(), often.column("times").to_numpy().copy()))
+            Order(top.column("short").to_numpy().view(np.uint64).copy(), np.minimum(top.column("times").to_numpy(), 2**31 - 1), bits))
         # one row a node; k finds a document that has the set
         self.nodes = materialize(
             self.spark,
@@ -305,8 +338,8 @@ class Join:
     def _segments(self, wanted: DataFrame) -> DataFrame:
         """(node, fragment, bytes: hashes ascending) of the wanted nodes (node, k)."""
         spark, width, order, fragments = self.spark, self.width, self.order, self.fragments
-        bits = spark.sparkContext.broadcast(bloom(wanted, "k"))
-        source = self.docs.select("text", *(c.alias(f"b{i}") for i, c in enumerate(bloom_keys(F.col("k")))))
+        bits = spark.sparkContext.broadcast(bloom(wanted.select(*bloom_keys(F.col("k")))))
+        source = self.docs.select("text", *bloom_keys(F.col("k")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def chosen():
