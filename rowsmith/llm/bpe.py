@@ -25,15 +25,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-CACHE = 120_000
-#: Texts are split and their new words encoded in groups of about so many characters.
-BATCH_CHARS = 2_000_000
+CACHE = 80_000
+#: Texts are split and their new words encoded in groups of about so many characters; longer ones in parts of that size.
+BATCH_CHARS = 400_000
+#: Words that are merged at once.
+MERGED = 10_000
 #: The split of the files that this module reads, with `\\s` spelled out.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+_BLANK = re.compile(r"[ \t\n\r]")
 NONE = np.iinfo(np.int64).max
 SHIFT = np.int64(20)
 
@@ -69,8 +73,10 @@ class WordBpe:
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.names = np.empty(max(self.token, default=-1) + 1, dtype=object)
+        for i, t in self.token.items():
+            self.names[i] = t
         self.ids_of: dict[str, bytes] = {}
-        self.text_of: dict[str, str] = {}
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Index of each pair among the sorted keys, or -1."""
@@ -142,43 +148,54 @@ class WordBpe:
         plain = []
         for w in words:
             if w.startswith("\0special\0"):
-                i = self.special[w[9:]]
-                self.ids_of[w], self.text_of[w] = np.uint32(i).tobytes(), self.token[i]
+                self.ids_of[w] = np.uint32(self.special[w[9:]]).tobytes()
             else:
                 plain.append(w)
-        for lo in range(0, len(plain), 50_000):
-            part = plain[lo : lo + 50_000]
+        for lo in range(0, len(plain), MERGED):
+            part = plain[lo : lo + MERGED]
             ids, ends = self.merge([w.encode("utf-8", "replace") for w in part])
-            raw, names = ids.tobytes(), list(map(self.token.__getitem__, ids.tolist()))
-            a = 0
+            raw, a = ids.tobytes(), 0
             for w, b in zip(part, ends.tolist(), strict=True):
                 self.ids_of[w] = raw[4 * a : 4 * b]
-                self.text_of[w] = " ".join(names[a:b])
                 a = b
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian uint32, decoded text) of each text."""
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian uint32."""
         i = 0
         while i < len(texts):
-            split, size = [], 0
-            while i < len(texts) and size < BATCH_CHARS:
-                split.append(self.pieces(texts[i]))
+            if len(texts[i]) > BATCH_CHARS:
+                yield b"".join(x for part in self.parts(texts[i]) for x in self._group([part]))
+                i += 1
+                continue
+            lo, size = i, 0
+            while i < len(texts) and size + len(texts[i]) <= BATCH_CHARS:
                 size += len(texts[i])
                 i += 1
-            seen = set().union(*split)
-            if missing := seen.difference(self.ids_of):
-                if len(self.ids_of) + len(missing) > CACHE:
-                    self.ids_of.clear()
-                    self.text_of.clear()
-                    missing = seen
-                self.learn(missing)
-            for words in split:
-                ids = b"".join(map(self.ids_of.__getitem__, words))
-                yield ids, " ".join(filter(None, map(self.text_of.__getitem__, words)))
-
-    def decode(self, ids: Iterable[int]) -> str:
+            yield from self._group(texts[lo:i])
+
+    def parts(self, text: str) -> Iterator[str]:
+        """A long text in parts of about BATCH_CHARS, cut after blanks, which no word and no composition crosses."""
+        lo = 0
+        while lo < len(text):
+            cut = _BLANK.search(text, lo + BATCH_CHARS)
+            hi = cut.end() if cut else len(text)
+            yield text[lo:hi]
+            lo = hi
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        split = [self.pieces(t) for t in texts]
+        seen = set().union(*split)
+        if missing := seen.difference(self.ids_of):
+            if len(self.ids_of) + len(missing) > CACHE:
+                self.ids_of.clear()
+                missing = seen
+            self.learn(missing)
+        return [b"".join(map(self.ids_of.__getitem__, words)) for words in split]
+
+    def decode(self, ids: np.ndarray | Iterable[int]) -> str:
         """Tokens joined by a space; ids that the vocabulary lacks are left out."""
-        return " ".join(self.token[i] for i in map(int, ids) if i in self.token)
+        ids = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), dtype=np.int64)
+        return " ".join(filter(None, self.names[ids[(ids >= 0) & (ids < len(self.names))]]))
 
 
 _loaded: dict[int, WordBpe] = {}
@@ -205,40 +222,48 @@ class _Spec:
         return self.data.value
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """docs with n_tokens, ids_sha256, decoded_sha256 and, if keep_ids, ids (array<int>) and decoded."""
+def encode(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True, keep_text: bool = True) -> DataFrame:
+    """docs with n_tokens, ids_sha256, decoded_sha256 (of the decoded ids) and, if kept, ids (array<int>) and decoded."""
     spec = _Spec(docs.sparkSession, path)
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    if keep_ids:
-        made += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    made += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids + [T.StructField("decoded", T.StringType())] * keep_decoded
     names = {f.name for f in made}
-    carried = [f for f in docs.schema.fields if f.name not in names and (keep_ids or f.name != text_col)]
+    carried = [f for f in docs.schema.fields if f.name not in names and (keep_text or f.name != text_col)]
     schema = T.StructType([*carried, *made])
-    at = docs.columns.index(text_col)
-    source = docs.select(*[docs[f"`{c}`"] for c in docs.columns])
-    places = [docs.columns.index(f.name) for f in carried]
+    source = docs.select(*[docs[f"`{f.name}`"].alias(f"c{i}") for i, f in enumerate(carried)], docs[f"`{text_col}`"].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(spec)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for part in _slices(batch):
                 n, ids_sha, text_sha, ids_out, decoded = [], [], [], [], []
-                for ids, text in bpe.encode([x or "" for x in part.column(at).to_pylist()]):
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                for raw in bpe.encode([x or "" for x in part.column(len(carried)).to_pylist()]):
+                    ids = np.frombuffer(raw, dtype="<i4")
+                    text = bpe.decode(ids)
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(raw).hexdigest())
                     text_sha.append(hashlib.sha256(text.encode()).hexdigest())
                     if keep_ids:
-                        ids_out.append(np.frombuffer(ids, dtype="<i4"))
+                        ids_out.append(ids)
+                    if keep_decoded:
                         decoded.append(text)
-                columns = [part.column(i) for i in places] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                if keep_ids:
-                    columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                columns = [part.column(i) for i in range(len(carried))] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                columns += [pa.array(ids_out, pa.list_(pa.int32()))] * keep_ids + [pa.array(decoded, pa.string())] * keep_decoded
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return source.mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch, most: int = 4 * BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `most` bytes of text (its last column), or one longer text."""
+    size = np.cumsum(pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

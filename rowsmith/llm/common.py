@@ -62,16 +62,20 @@ def trim() -> None:
         free(0)
 
 
-def from_most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
-    """Rows of the highest counts, at most `most`: a histogram over eighths of powers of two finds where they begin."""
+def from_most_frequent(counts: DataFrame, key: str, n: str, most: int) -> DataFrame:
+    """Rows of the highest counts, about `most` at most: a histogram over eighths of powers of two finds where they begin.
+
+    Of the first bin that doesn't fit whole, as many go along by their key's hash as there is room for, less a tenth.
+    """
     level = F.floor(F.log2(n) * 8).cast("int")
     bins = sorted(((r["l"], r["k"]) for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    low, total = None, 0
+    total = 0
     for at, k in bins:
         if total + k > most:
-            break
-        low, total = at, total + k
-    return counts.filter(F.lit(False) if low is None else level >= low)
+            share = int(0.9 * (most - total) / k * (1 << 30))
+            return counts.filter((level > at) | (level == at) & (F.pmod(F.xxhash64(F.lit("bin"), key), F.lit(1 << 30)) < share))
+        total += k
+    return counts
 
 
 def crc_mod(key: Column, n: int) -> Column:
@@ -87,6 +91,7 @@ def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package also where the driver found it through sys.path alone, and keeps
     the batches of texts that they get small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     # workers live on after a task: what they freed goes back to the system
@@ -139,13 +144,13 @@ def salted_lookup(rows: DataFrame, key: str, salt: str, table: DataFrame) -> Dat
     return rows.join(homes, [key, salt], "left")
 
 
-def bloom(nodes: DataFrame, column: str, most_bits: int = 1 << 29) -> np.ndarray:
-    """Bits of a Bloom filter of a long column, 16 a row and at most most_bits: a superset test of bounded size."""
-    n = max(nodes.count(), 1)
+def bloom(keys: DataFrame, most_bits: int = 1 << 29) -> np.ndarray:
+    """Bits of a Bloom filter of rows of hashes, 16 bits a row and at most most_bits: a superset test of bounded size."""
+    n = max(keys.count(), 1)
     bits = min(1 << max(10, (16 * n - 1).bit_length()), most_bits)
-    at = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(bits)) for i in range(2)]))
+    at = F.explode(F.array(*[F.pmod(F.col(c), F.lit(bits)) for c in keys.columns]))
     words = (
-        nodes.select(at.alias("p")).groupBy(F.shiftright("p", 5).alias("w"))
+        keys.select(at.alias("p")).groupBy(F.shiftright("p", 5).alias("w"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(32)).cast("int"))).alias("b")).toArrow()
     )
     out = np.zeros(bits // 32, np.uint32)
@@ -154,8 +159,17 @@ def bloom(nodes: DataFrame, column: str, most_bits: int = 1 << 29) -> np.ndarray
 
 
 def bloom_keys(column: Column) -> list[Column]:
-    """The hashes that `bloom` tests a value by."""
-    return [F.xxhash64(F.lit(i), column) for i in range(2)]
+    """Two hashes of a value, for `bloom` and for what is tested against it."""
+    return [F.xxhash64(F.lit(i), column).alias(f"h{i}") for i in range(2)]
+
+
+def hashed_keys(key: Column) -> list[Column]:
+    """The same for a column that is a hash already; in numpy, `halves`."""
+    return [key.alias("h0"), F.shiftrightunsigned(key, 32).alias("h1")]
+
+
+def halves(key: np.ndarray) -> list[np.ndarray]:
+    return [key.view(np.int64), (key >> np.uint64(32)).view(np.int64)]
 
 
 def in_bloom(bits: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:

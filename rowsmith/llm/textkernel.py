@@ -2,7 +2,8 @@
 
 A batch of texts is one byte buffer with offsets. Words are found with byte masks and hashed through prefix
 sums of byte * BASE**position (mod 2**64), so the hash of any byte span costs O(1) and no Python object is made
-per word. Work goes in pieces of about PIECE bytes, whatever the length of a text.
+per word. Texts go in pieces of a few times PIECE bytes; a longer text is a piece of its own, for which the arrays of
+its words (about 50 bytes a word) are held at once, while its bytes are hashed PIECE by PIECE, inside long words too.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, PIECE)
+            n = 2 * PIECE + 1
             inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
             with np.errstate(over="ignore"):
                 self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE)]), dtype=np.uint64)
@@ -92,21 +93,40 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span; spans are in order of start, and the bytes between are not read."""
     out = np.empty(len(start), dtype=np.uint64)
+    long = np.flatnonzero(end - start > PIECE)
     i = 0
     with np.errstate(over="ignore"):
-        while i < len(start):
-            lo = start[i]
-            j = max(i + 1, int(np.searchsorted(start, lo + PIECE, "left")))
-            hi = int(end[i:j].max())
-            up, down = _powers.get(hi - lo + 1)
-            sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-            np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=sums[1:])
-            s, e = start[i:j] - lo, end[i:j] - lo
-            out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            i = j
+        for stop in [*long.tolist(), len(start)]:  # runs of words between the long ones
+            while i < stop:
+                lo = start[i]
+                j = min(stop, max(i + 1, int(np.searchsorted(start, lo + PIECE, "left"))))
+                hi = int(end[i:j].max())
+                up, down = _powers.get(hi - lo + 1)
+                sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+                np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=sums[1:])
+                s, e = start[i:j] - lo, end[i:j] - lo
+                out[i:j] = _finish((sums[e] - sums[s]) * down[s], e - s)
+                i = j
+            if stop < len(start):
+                out[stop] = _long(data[start[stop] : end[stop]])
+                i = stop + 1
     return out
 
 
+def _finish(total: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _long(word: np.ndarray) -> np.uint64:
+    """The hash of one long word, by PIECE bytes at a time."""
+    total, scale, up = np.uint64(0), 1, _powers.get(PIECE)[0]
+    for lo in range(0, len(word), PIECE):
+        part = word[lo : lo + PIECE].astype(np.uint64) + np.uint64(1)
+        total += np.add.reduce(part * up[: len(part)]) * np.uint64(scale)
+        scale = scale * pow(int(BASE), PIECE, 1 << 64) % (1 << 64)
+    return _finish(np.array([total]), np.array([len(word)]))[0]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every word of one piece."""
     if lower:
