@@ -5,7 +5,8 @@ stage's docs; all but the last return the columns of docs. Decisions take effect
 and what the mix repeats is there that often.
 
 Defined cases are those of the operators; rows that share an id are decided on together by the stages
-`near_duplicates` and `mix`, and null ids count as one such id.
+`near_duplicates` and `mix`, and null ids count as one such id. The columns of docs travel in one struct, so none of
+them is read or replaced by what a stage makes, whatever its name; the last stage takes four of them.
 """
 
 from __future__ import annotations
@@ -14,17 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsmith.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from rowsmith.llm.common import materialize, ship
+from rowsmith.llm.common import materialize, release, ship
 
 #: Models and iterations have no SQL form; tests/llm compares the stages with brute force instead.
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose Kneser-Ney surprise is not above their language's threshold."""
+    """Documents whose Kneser-Ney perplexity is not above their threshold."""
     ship(spark)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels).filter("keep").select(*docs.columns)
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +44,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near copies, the document with the smallest id."""
     ship(spark)
     groups = ngram_join.similar(docs)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    return _unpacked(_packed(docs).join(stays, F.col("row.doc_id").eqNullSafe(F.col("stays")), "left_semi"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as entropy balancing towards the sources' targets takes them."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(copies.filter("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
+    taken = _packed(docs).join(copies.filter("copies > 0"), F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return _unpacked(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")), docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -54,7 +62,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | Non
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text", "decoded")
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, keep_decoded=False, keep_text=False)
 
 
 STAGES = [
@@ -69,5 +77,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

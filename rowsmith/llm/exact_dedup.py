@@ -8,8 +8,10 @@ Full texts are compared at every stage: a digest alone never decides that two te
 
 Defined cases: a null text counts as empty; null ids lose to any id, and a group of null ids keeps null;
 rows repeated with the same id are one document, so all of them carry kept = true in `assign`, and
-`survivors` returns one of them; an empty table gives an empty result; other columns of the input are never
-read by `assign` and are carried as they are by `survivors`, whatever their names.
+`survivors` returns one of them, chosen by a hash of their other columns but those that hold maps; an empty table gives
+an empty result; other columns of the input are never read by `assign` and are carried as they are by `survivors`,
+whatever their names and types. Rows without an id share a salt for each text: combining before the shuffle leaves
+one row a task of them, and the join back to rows is a plain one, whose skewed side AQE splits.
 """
 
 from __future__ import annotations
@@ -91,25 +93,22 @@ def survivors(
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    row = F.struct(F.col(f"`{id_col}`").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest"),
-                   F.col(f"`{text_col}`").isNotNull().alias("has"))
-    keyed = docs.select(row.alias("_row"), text.alias("_raw"))
-    if normalise:
-        keyed = keyed.withColumn("_text", normalise(F.col("_raw")))
-        keyed = keyed.withColumn("_row", F.struct("_row.id", "_row.rest", "_row.has", F.col("_raw").alias("raw")))
-    else:
-        keyed = keyed.withColumnRenamed("_raw", "_text")
+    rest = [f for f in docs.schema.fields if f.name != text_col]
+    hashed = [F.col(f"`{f.name}`") for f in rest if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    # what survives of a group, and by which order: the id first, then as defined for rows that share it
+    row = F.struct(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)], F.col(f"`{text_col}`").isNotNull().alias("has"), *([text.alias("raw")] if normalise else []))
+    by = F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").isNotNull().alias("has"), F.xxhash64(*hashed).alias("h"))
+    keyed = docs.select(row.alias("_row"), by.alias("_by"), (normalise(text) if normalise else text).alias("_text"))
     keyed = keyed.withColumn("_digest", digest(F.col("_text"))).withColumn(
-        "_salt", F.pmod(F.xxhash64("_row.id"), F.lit(_salts(spark, salts))).cast("int")
+        "_salt", F.pmod(F.xxhash64("_by.id"), F.lit(_salts(spark, salts))).cast("int")
     )
-    winners = keyed.groupBy("_salt", "_digest", "_text").agg(F.max("_row").alias("_row"))
-    kept = winners.repartition("_digest").groupBy("_digest", "_text").agg(F.max("_row").alias("_row"))
-    raw = F.col("_row.raw") if normalise else F.col("_text")
+    best = (F.max_by("_row", "_by").alias("_row"), F.max("_by").alias("_by"))
+    winners = keyed.groupBy("_salt", "_digest", "_text").agg(*best)
+    kept = winners.repartition("_digest").groupBy("_digest", "_text").agg(*best)
+    of = F.col("_row").getField
+    place = {f.name: i for i, f in enumerate(rest)}
     return kept.select(
-        *[
-            F.when(F.col("_row.has"), raw).alias(c) if c == text_col else F.col("_row.rest").getField(c).alias(c)
-            for c in docs.columns
-        ]
+        *[F.when(of("has"), of("raw") if normalise else F.col("_text")).alias(c) if c == text_col else of(f"c{place[c]}").alias(c) for c in docs.columns]
     )
 
 
