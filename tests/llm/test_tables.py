@@ -43,6 +43,12 @@ def test_warc_round_trip(spark, low):
         revisit = len(body) >= low and i != top
         want[(i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", top if revisit else None)] += 1
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    there = {r["record_id"] for r in got if r["record_type"] == "response"}
+    assert all(r["refers_to_id"] in there for r in got if r["record_type"] == "revisit")
+    keyed = sorted(got, key=lambda r: r["position"])
+    assert [r["position"] for r in keyed] == list(range(len(ROWS)))
+    order = [(warc.url_key(dict((i, u) for i, u, _ in ROWS).get(r["page_id"]) if r["page_id"] else "http://c.net"), r["ts"], -1 if r["page_id"] is None else r["page_id"]) for r in keyed]
+    assert order == sorted(order)
     by_id = {i: h or "" for i, _, h in ROWS if i is not None}
     assert all(bytes(r["payload"]).decode() == by_id[r["page_id"]] for r in got if r["record_type"] == "response" and r["page_id"] is not None)
 
@@ -56,6 +62,26 @@ def test_index_is_in_global_order(spark):
     assert keys == sorted(keys) and len(keys) == len(rows)
 
 
+def test_runs_in_pieces(spark, monkeypatch):
+    """Runs cut short and heads decoded a few at a time merge to the same order."""
+    monkeypatch.setattr(warc, "RUN_LINES", 7)
+    rows = [(i * 37 % 101, f"http://h{i % 3}.com/{i % 5}", "p") for i in range(101)]
+    uri = scratch(spark, "w")
+    runs = warc.write(pages(spark, rows).repartition(2), uri)
+    assert runs.select("run").distinct().count() >= 101 // 7
+    got = warc.merge_index(runs, 2).orderBy("position").collect()
+    assert [(r["url_key"], r["page_id"]) for r in got] == sorted((warc.url_key(u), i) for i, u, _ in rows)
+
+
+def test_op9_query_by_its_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    got = Counter(tuple(r) for r in warc.op9_warc(spark, folder).collect())
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS FROM read_parquet('{folder}/pages.parquet')")
+    assert got == Counter(duckdb.sql(warc.OP9_SQL).fetchall())
+
+
 def test_warc_of_nothing(spark):
     uri = scratch(spark, "w")
     assert warc.read(warc.merge_index(warc.write(pages(spark, []), uri), 2), uri).count() == 0

@@ -139,78 +139,198 @@ def test_bitmaps_bound_the_difference():
 # --- operator 4
 
 
+def six_of_seven():
+    return crc_mod(F.col("doc_id"), 7) != 2
+
+
+def lm_scores(df, learn=None, **options):
+    learn = six_of_seven() if learn is None else learn
+    return lm_scoring.score(df, "doc_id", "text", learn, lm_scoring.fit(df.filter(learn).select("text"), **options))
+
+
 @pytest.mark.parametrize("table", [1 << 18, 8, 0])
-def test_lm_base_score(spark, table):
-    """Counts and base score equal brute force, whatever part of the tokens is broadcast."""
+def test_lm_scores_by_brute_force(spark, table):
+    """Counts, base score and score, token by token, whatever part of the tokens is broadcast."""
     rng = random.Random(5)
-    rows = [(i, prose(rng, rng.randint(0, 60), VOCAB + [f"rare{i}"]), "en") for i in range(120)] + [(500, None, "en"), (None, "ba na", "en"), (501, "BA na " * 20_000, None), (501, "ba", None)]
-    got = lm_scoring.score(docs(spark, rows).repartition(3), "doc_id", "text", crc_mod(F.col("doc_id"), 7) != 2, classes=16, table=table).collect()
+    rows = [(i, prose(rng, rng.randint(0, 60), VOCAB + [f"rare{i}"]), "en") for i in range(120)] + [(500, None, "en"), (None, "ba na", "en"), (501, "BA na " * 2_000, None), (501, "ba", None)]
+    df = docs(spark, rows).repartition(3)
+    fitted = lm_scoring.fit(df.filter(six_of_seven()).select("text"), table=table, words=7)
+    got = lm_scoring.score(df, "doc_id", "text", six_of_seven(), fitted).collect()
     learn = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2 for i, _, _ in rows]
     count = Counter(w for (_, t, _), use in zip(rows, learn, strict=True) if use for w in [*words(t), None])
     n, v = sum(count.values()), len(count)
-    want = Counter()
+
+    # the model by its definition, in scalars
+    seen = sorted({w for _, t, _ in rows for w in words(t)})
+    hashes = dict(zip(seen, K.words(*K.buffers(pa.array(seen)))[0].tolist(), strict=True)) | {None: int(lm_scoring.END)}
+    by_hash = {h: w for w, h in hashes.items()}
+    own = {by_hash[h] for h in fitted.units.words.tolist()}
+    bucket = lambda w: hashes[w] % lm_scoring.BUCKETS
+    unit = dict(zip(map(by_hash.get, fitted.units.words.tolist()), fitted.units.own.tolist(), strict=True))
+    unit |= {w: int(fitted.units.bucket[bucket(w)]) for w in hashes if w not in own}
+    in_bucket, kinds = Counter(), Counter()
+    for w, k in count.items():
+        if w not in own:
+            in_bucket[bucket(w)] += k
+            kinds[bucket(w)] += 1
+    once, twice = (sum(1 for k in count.values() if k == x) for x in (1, 2))
+    cut = once / (once + 2 * twice) if once and twice else 0.5
+    model, dim, slots = fitted.model, lm_scoring.DIM, lm_scoring.SLOTS
+
+    def share(w):
+        if w in own:
+            return 1.0
+        b = bucket(w)
+        return (count[w] - cut) / in_bucket[b] if count[w] else cut * kinds[b] / in_bucket[b] if in_bucket[b] else 1.0
+
+    def softmax(h, table):
+        s = [float(x[:dim] @ h) + float(x[dim]) for x in table.astype(float)]
+        e = [math.exp(x - max(s)) for x in s]
+        return [x / sum(e) for x in e]
+
+    known = {}
+
+    def p(w, context):
+        if context not in known:
+            h = sum(model.r[u, :dim].astype(float) @ model.c[k * dim : (k + 1) * dim, :dim] for k, u in enumerate(context))
+            known[context] = h, softmax(h, model.qc), {}
+        h, classes, inside = known[context]
+        k, at = divmod(unit[w], slots)
+        if k not in inside:
+            inside[k] = softmax(h, model.q[k * slots : (k + 1) * slots])
+        return classes[k] * inside[k][at] * share(w)
+
+    want = {}
     for (i, t, _), use in zip(rows, learn, strict=True):
         w = [*words(t), None]
-        want[(i, use, len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6))] += 1
-    assert Counter((r["doc_id"], r["learnt"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(math.isfinite(r["score"]) and r["score"] <= 1e-9 for r in got)
+        base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)
+        units = [unit[None]] * lm_scoring.CONTEXT + [unit[x] for x in w]
+        logp = sum(math.log10(p(x, tuple(units[k : k + 3][::-1]))) for k, x in enumerate(w))
+        want.setdefault((i, use, len(w), sum(count[x] > 0 for x in w), n), []).append((base, logp))
+    assert len(got) == len(rows)
+    for r in got:
+        found = want[r["doc_id"], r["learnt"], r["n_tokens"], r["n_known"], r["train_tokens"]]
+        assert any(r["base_score"] == pytest.approx(x, rel=1e-6) and r["score"] == pytest.approx(y, rel=1e-4) for x, y in found)
+    # over all units, and inside a bucket with its unknown token, probabilities sum to one
+    h, classes, _ = next(iter(known.values()))
+    assert sum(c * x for k, c in enumerate(classes) for x in softmax(h, model.q[k * slots : (k + 1) * slots])) == pytest.approx(1)
+    for b in list(in_bucket)[:5]:
+        assert sum(share(w) for w in count if w not in own and bucket(w) == b) + cut * kinds[b] / in_bucket[b] == pytest.approx(1)
+
+
+def test_lm_gradient_is_right():
+    rng = np.random.default_rng(1)
+    scores, target, noise = rng.normal(size=(4, 6)), np.array([0, 5, 2, 2]), rng.uniform(0.1, 3, 6)
+    sig = lambda x: -np.logaddexp(0, -x)
 
+    def gain(s):
+        d = s - np.log(noise)
+        return sig(d)[np.arange(4), target].sum() + (noise * sig(-d)).sum()
 
-def test_lm_distributions_are_normalised_and_learn_bigrams():
-    rng = np.random.default_rng(1)
-    counts = np.full((12, 12), 1.0)
-    for i in range(12):
-        counts[i, (i + 3) % 12] = 200
-    counts *= rng.uniform(0.5, 2, (12, 1))
-    logp = lm_scoring.train(counts, dim=12, steps=600)
-    p = 10.0**logp
-    assert np.allclose(p.sum(1), 1)
-    assert (p.argmax(1) == (np.arange(12) + 3) % 12).all()
-    unigram = counts.sum(0) / counts.sum()
-    assert (counts * logp).sum() > (counts * np.log10(unigram)).sum()
-
-
-def test_lm_beats_the_base_on_held_out_text(spark):
+    g = lm_scoring.nce_gradient(scores, target, noise)
+    for at in np.ndindex(4, 6):
+        e = np.zeros((4, 6))
+        e[at] = 1e-5
+        assert (gain(scores + e) - gain(scores - e)) / 2e-5 == pytest.approx(g[at], abs=1e-6)
+
+
+def test_lm_learns_contexts(spark):
+    """On held-out text a token that follows from the one before, or the one before that, costs less than by counts."""
     rng = random.Random(6)
-    rows = [(i, " ".join(x + " " + x + "then" for x in (rng.choice(VOCAB) for _ in range(40))), "en") for i in range(200)]
-    got = lm_scoring.score(docs(spark, rows), "doc_id", "text", crc_mod(F.col("doc_id"), 7) != 2, classes=64).filter("not learnt").collect()
-    assert sum(r["score"] for r in got) > 0.85 * sum(r["base_score"] for r in got) > sum(r["base_score"] for r in got)
+    rows = [(i, " ".join(f"{x} {y} {x}then {y}then" for x, y in ((rng.choice(VOCAB), rng.choice(VOCAB)) for _ in range(60))), "en") for i in range(600)]
+    got = lm_scores(docs(spark, rows).repartition(2)).filter("not learnt").collect()
+    assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got) > sum(r["base_score"] for r in got)
 
 
 def test_lm_of_nothing(spark):
-    assert lm_scoring.score(docs(spark, []), "doc_id", "text", F.lit(True)).count() == 0
-    (r,) = lm_scoring.score(docs(spark, [(1, "a b", "en")]), "doc_id", "text", F.lit(False)).collect()
+    assert lm_scores(docs(spark, []), F.lit(True)).count() == 0
+    (r,) = lm_scores(docs(spark, [(1, "a b", "en")]), F.lit(False)).collect()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
 
 
+def test_lm_clashing_columns_and_repeats(spark):
+    df = spark.createDataFrame([(1, "ba na ro", "x", 1.0, 5)] * 3 + [(2, None, "y", 2.0, 6)], "doc_id long, text string, score string, `row` double, token int")
+    got = lm_scores(df, F.lit(True)).collect()
+    assert len(got) == 4 and len({(r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got if r["doc_id"] == 1}) == 1
+
+
 # --- operator 5
 
 
-def test_kneser_ney_sums_to_one():
-    """Over the vocabulary and one unseen word, probabilities in a context sum to one."""
+def brute_kn(texts):
+    """(probability of a token after two others, spread) by the textbook's formulas."""
+    split = lambda t: ["<s>", "<s>", *re.findall(r"[^\x20\x09-\x0D]+", t or ""), "</s>"]
+    tri = Counter()
+    for t in texts:
+        s = split(t)
+        tri.update(zip(s, s[1:], s[2:], strict=False))
+    bi, uni = Counter(), Counter()
+    for _, v, w in tri:
+        bi[v, w] += 1
+    for _, w in bi:
+        uni[w] += 1
+
+    def cuts(table):
+        k = [max(sum(1 for n in table.values() if n == i), 1) for i in range(1, 5)]
+        y = k[0] / (k[0] + 2 * k[1])
+        d = [min(max(i - (i + 1) * y * k[i] / k[i - 1], 0.1), i - 0.1) for i in (1, 2, 3)]
+        return lambda n: d[min(n, 3) - 1]
+
+    d1, d2, d3 = cuts(uni), cuts(bi), cuts(tri)
+    total = sum(uni.values())
+    floor = sum(map(d1, uni.values())) / total / (len(uni) + 1)
+
+    def p1(w):
+        return floor + ((uni[w] - d1(uni[w])) / total if w in uni else 0)
+
+    def interpolate(table, d, key, context, below):
+        found = {k: n for k, n in table.items() if k[:-1] == context}
+        if not found:
+            return below
+        n = sum(found.values())
+        own = (found[key] - d(found[key])) / n if key in found else 0
+        return own + sum(map(d, found.values())) / n * below
+
+    def p(u, v, w):
+        return interpolate(tri, d3, (u, v, w), (u, v), interpolate(bi, d2, (v, w), (v,), p1(w)))
+
+    s = [math.log(p(*k)) for k, n in tri.items() for _ in range(n)]
+    return p, split, float(np.std(s))
+
+
+@pytest.mark.parametrize("table", [0, 12, 1 << 18])
+def test_perplexity_is_kneser_ney(spark, table):
+    """Against brute force, through the join, through the broadcast table, and through both."""
     rng = random.Random(2)
-    vocab = VOCAB[:8]
-    kn = quality.KneserNey(pa.array([prose(rng, 30, vocab) for _ in range(12)]))
-    for context in ("", vocab[0], f"{vocab[1]} {vocab[2]}", "unseen unseen"):
-        total = 0.0
-        for w in [*vocab, "neverseen"]:
-            data, offsets = K.buffers(pa.array([f"{context} {w}".strip()]))
-            text, surprise, n = kn._surprise(data, offsets)
-            total += math.exp(-surprise[-2])
-        # the end of a text is the remaining event
-        data, offsets = K.buffers(pa.array([context]))
-        total += math.exp(-kn._surprise(data, offsets)[1][-1])
-        assert total == pytest.approx(1, abs=2e-3), context
-
-
-def test_shards_join_like_a_dictionary():
-    rng = np.random.default_rng(4)
-    keys = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
-    values = rng.random(len(keys))
-    s = quality.Shards(keys, values)
-    asked = np.concatenate([rng.choice(keys, 300), rng.integers(0, 1 << 63, 50).astype(np.uint64)])
-    table = dict(zip(keys.tolist(), values.astype(np.float32).tolist(), strict=True))
-    assert s.join(asked, (-1.0,))[0].tolist() == [table.get(k, -1.0) for k in asked.tolist()]
+    vocab = VOCAB[:7]
+    texts = [prose(rng, rng.randint(1, 30), vocab) for _ in range(14)]
+    p, split, spread = brute_kn(texts)
+    for u, v in (("<s>", "<s>"), ("<s>", vocab[0]), (vocab[1], vocab[2]), ("unseen", "unseen")):
+        assert sum(p(u, v, w) for w in [*vocab, "neverseen", "</s>"]) == pytest.approx(1, abs=1e-9)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = [*enumerate(texts), (20, ""), (21, None), (22, "never seen " + texts[0]), (22, texts[1]), (None, prose(rng, 200, [*vocab, "X%"]))]
+    model = quality.estimate(quality.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string")))
+    assert model.spread == pytest.approx(spread)
+    df = spark.createDataFrame([(i, t, "t" if t is None else t) for i, t in rows], "doc_id long, text string, copy string")
+    out_rows, means = quality.score(df, model, ["doc_id", "copy"], table=table)
+    out = out_rows.join(means, "place").collect()
+    assert len(out) == len(rows) and labels.count() == 0
+    for r in out:
+        s = split("" if r["row"]["copy"] == "t" else r["row"]["copy"])
+        want = -sum(math.log(p(*k)) for k in zip(s, s[1:], s[2:], strict=False)) / (len(s) - 2)
+        assert (r["n_tokens"], r["mean"]) == (len(s) - 2, pytest.approx(want, rel=1e-9))
+
+
+def test_quality_leaves_clashing_columns_alone(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 40, VOCAB), "en", 7, {"a": i}, 1.5, "_") for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_tokens int, keep map<string,int>, threshold double, `_lang` string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)] * 2 + [(0, 0, 0)], "doc_id long, quality int, toxic int")
+    out = quality.keep(df, labels)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    assert {(r["n_tokens"], r["threshold"], r["_lang"], r["keep"]["a"] == r["doc_id"]) for r in out.collect()} == {(7, 1.5, "_", True)}
+    made = quality.classify(df, labels).collect()
+    assert len(made) == 120 and {type(r["keep"]) for r in made} == {bool}
 
 
 def test_quality_rejects_junk_and_keeps_prose(spark):
@@ -222,6 +342,7 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     df = docs(spark, rows + junk + odd)
     out = quality.classify(df, labels)
     assert set(df.columns) - set(quality.OUTPUTS) <= set(out.columns)
+    assert all(r["keep"] == (r["perplexity"] <= r["threshold"]) for r in out.collect())
     keep = {r["doc_id"]: r["keep"] for r in out.collect()}
     assert out.count() == df.count()
     assert sum(keep[i] for i, _, _ in rows) > 0.97 * len(rows)
@@ -377,6 +498,20 @@ def test_bpe_cache_is_bounded(monkeypatch):
     w = bpe.WordBpe(open(path, encoding="utf-8").read())
     texts = [f"word{i} number{i} again" for i in range(200)]
     monkeypatch.setattr(bpe, "BATCH_CHARS", 100)
-    for x, (ids, _) in zip(texts, w.encode(texts), strict=True):
+    for x, ids in zip(texts, w.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
     assert len(w.ids_of) <= 60
+
+
+def test_bpe_of_long_texts_in_parts(monkeypatch):
+    """Cut after blanks, before combining marks, special tokens and words longer than a part too."""
+    path, t = tokenizer()
+    w = bpe.WordBpe(open(path, encoding="utf-8").read())
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 40)
+    rng = random.Random(1)
+    for _ in range(60):
+        text = "".join(rng.choice(["Word", "é", " ", "\n", "\u0301", "<|endoftext|>", "ΑΣ ", "12'll", "x" * 90, "%", "\u00a0", " \u0301a"]) for _ in range(60))
+        (ids,) = w.encode([text])
+        ids = np.frombuffer(ids, "<u4").tolist()
+        assert ids == t.encode(text, add_special_tokens=False).ids
+        assert w.decode(ids) == t.decode(ids, skip_special_tokens=False)
