@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+import uuid
+from collections.abc import Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsmith.errors import InvalidInputData
+from rowsmith.errors import IncorrectOption, InvalidInputData
 from rowsmith.functions.tokenizer import java
 from rowsmith.options import WriteOptions
 
@@ -102,9 +105,27 @@ def _hadoop(spark: SparkSession, path: str):
     return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write(df: DataFrame, path: str, single: bool = True, order: list[str] | None = None, **options: Any) -> None:
-    """Writes df. With `single`, to exactly one file at `path`: parts are written in parallel beside it, then
-    joined stream by stream, so no task holds the whole. Without, to a directory of parts, each with its header."""
+def _headed(body: DataFrame, head: str) -> DataFrame:
+    """Lines with `head` before those of each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    return body.mapInArrow(run, "value string")
+
+
+def _part_number(name: str) -> tuple[int, str]:
+    found = re.match(r"part-(\d+)", name)
+    return (int(found[1]) if found else 0, name)
+
+
+def write(df: DataFrame, path: str, single: bool = True, order: list[str] | None = None, append: bool = False, **options: Any) -> None:
+    """Writes df. With `single`, to exactly one file at `path`: parts are written in parallel beside it, joined stream
+    by stream in the rows' order into a file beside it, which then takes its name, so nobody sees half of it. With
+    `append`, behind what the file holds, and without a header then. Without `single`, to a directory of parts (more of
+    them with `append`), each with its header."""
     o = WriteOptions.of(**options)
     spark = df.sparkSession
     if order:
@@ -113,25 +134,33 @@ def write(df: DataFrame, path: str, single: bool = True, order: list[str] | None
     body = lines(df, **options)
     encoding = (o.encoding or "utf-8").split(":")[0]
     plain = encoding.lower().replace("_", "-") in ("utf-8", "utf8")
-    folder = f"{path}.parts" if single else path
-    body.write.mode("overwrite").option("lineSep", o.row_sep).text(folder)
-    start = ("﻿" if o.write_bom else "") + (head + o.row_sep if head is not None else "")
+    mark = "\ufeff" if o.write_bom else ""
     if not single:
-        if start:
-            jvm, p, fs = _hadoop(spark, f"{folder}/_header")
-            out = fs.create(p, True)
-            out.write(bytearray(start.encode(encoding)))
-            out.close()
+        if not plain:
+            raise IncorrectOption("a directory of parts is written in UTF-8; other encodings need single=True")
+        if mark and head is None:
+            raise IncorrectOption("in a directory of parts, write_bom needs write_headers")
+        body = body if head is None else _headed(body, mark + head)
+        body.write.mode("append" if append else "overwrite").option("lineSep", o.row_sep).text(path)
         return
     jvm, target, fs = _hadoop(spark, path)
-    _, parts, _ = _hadoop(spark, folder)
-    names = sorted(s.getPath().toString() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-"))
-    out = fs.create(target, True)
+    beside = f"{path}.{uuid.uuid4().hex}"
+    body.write.mode("overwrite").option("lineSep", o.row_sep).text(f"{beside}.parts")
+    _, parts, _ = _hadoop(spark, f"{beside}.parts")
+    _, whole, _ = _hadoop(spark, f"{beside}.whole")
+    found = sorted((s.getPath().getName() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-")), key=_part_number)
+    old = append and fs.exists(target) and fs.getFileStatus(target).getLen() > 0
+    start = "" if old else mark + (head + o.row_sep if head is not None else "")
+    out = fs.create(whole, True)
     try:
+        if old:
+            source = fs.open(target)
+            jvm.org.apache.commons.io.IOUtils.copyLarge(source, out)
+            source.close()
         if start:
             out.write(bytearray(start.encode(encoding)))
-        for name in names:
-            source = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+        for name in found:
+            source = fs.open(jvm.org.apache.hadoop.fs.Path(parts, name))
             if plain:
                 jvm.org.apache.commons.io.IOUtils.copyLarge(source, out)
             else:
@@ -142,6 +171,9 @@ def write(df: DataFrame, path: str, single: bool = True, order: list[str] | None
             source.close()
     finally:
         out.close()
+    fs.delete(target, False)
+    if not fs.rename(whole, target):
+        raise OSError(f"could not rename {whole} to {path}")
     fs.delete(parts, True)
 
 
@@ -156,8 +188,8 @@ def to_csv_string(df: DataFrame, **options: Any) -> str:
 class Writer:
     """Collects rows (`<<` or add) and writes them on finalize; also a context manager."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, **options: Any) -> None:
-        self.spark, self.path, self.options, self.frames, self.rows = spark, path, options, [], []
+    def __init__(self, spark: SparkSession, path: str | None = None, append: bool = False, **options: Any) -> None:
+        self.spark, self.path, self.append, self.options, self.frames, self.rows = spark, path, append, options, [], []
         WriteOptions.of(**options)
 
     def add(self, data: Any) -> Writer:
@@ -183,7 +215,7 @@ class Writer:
             df = df.unionByName(more, allowMissingColumns=True)
         if self.path is None:
             return to_csv_string(df, **self.options)
-        write(df, self.path, **self.options)
+        write(df, self.path, append=self.append, **self.options)
         return None
 
     def __enter__(self) -> Writer:
