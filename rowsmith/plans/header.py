@@ -9,9 +9,13 @@ from rowsmith.functions.dialect import split_record
 from rowsmith.options import ReadOptions
 
 
+#: What counts as blank in a header: ASCII alone, and NUL at its ends.
+BLANK = " \t\n\v\f\r"
+
+
 def raw_names(line: str, options: ReadOptions, col_sep: str) -> list[str]:
     """Fields of the header line, without comment match, unwanted characters and quotes."""
-    if not line.strip():
+    if not line.strip(BLANK):
         raise EmptyFileError("no header line")
     if options.comment_regexp:
         line = re.sub(options.comment_regexp, "", line, count=1)
@@ -21,12 +25,12 @@ def raw_names(line: str, options: ReadOptions, col_sep: str) -> list[str]:
     if still_open:
         raise MalformedCSV("the header has an unclosed quote")
     fields = [f.replace(options.quote_char, "") for f in fields]
-    return [f.strip() for f in fields] if options.strip_whitespace else fields
+    return [f.strip(BLANK + "\0") for f in fields] if options.strip_whitespace else fields
 
 
 def normalise(names: list[str], options: ReadOptions) -> list[str]:
     if not options.keep_original_headers:
-        names = [re.sub(r"\s+|-+", "_", n) for n in names]
+        names = [re.sub(r"\s+|-+", "_", n, flags=re.ASCII) for n in names]
         if options.downcase_header:
             names = [n.lower() for n in names]
     if options.duplicate_header_suffix is None:
@@ -34,7 +38,7 @@ def normalise(names: list[str], options: ReadOptions) -> list[str]:
     taken = set(names)
     out = []
     for i, name in enumerate(names):
-        if not name.strip():
+        if not name.strip(BLANK):
             name = f"{options.missing_header_prefix}{i + 1}"
             while name in taken:
                 name += "_"
