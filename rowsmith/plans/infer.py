@@ -1,4 +1,4 @@
-"""One aggregate over all rows that settles the frame's shape: width of the widest row, and a type per column.
+"""One aggregate over all rows that settles the frame's shape: width of the widest row, statuses, and a type per column.
 
 A column is numeric only if every value that is left after cleaning is. Whole numbers are bigint, or decimal(p, 0)
 up to 38 digits; others are double, or decimal where the policy or a value with too many digits asks for it.
@@ -6,11 +6,12 @@ up to 38 digits; others are double, or decimal where the policy or a value with
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowsmith.functions import tokenizer
 from rowsmith.functions import values as V
 from rowsmith.options import ReadOptions
 
@@ -20,18 +21,28 @@ LONG_DIGITS = 18
 
 @dataclass
 class Shape:
+    """What one look at all records told; facts: by column, of those that were asked for."""
+
     width: int
     statuses: dict[str, int]
     backslash: bool = False
+    facts: dict[str, dict] = field(default_factory=dict)
 
 
-def width(records: DataFrame) -> Shape:
-    """Widest row and the number of rows by status."""
+def survey(records: DataFrame, columns: dict[str, Column], options: ReadOptions) -> Shape:
+    """Widest good row, rows by status, and the facts that `types` needs of `columns` (of a row's `fields`), in one aggregate."""
+    wanted = [n for n in columns if options.numeric(n)]
     slash = F.max((F.instr("raw", "\\") > 0).cast("int")).alias("b")
-    rows = records.groupBy("status").agg(F.max(F.size("fields")).alias("w"), F.count("*").alias("n"), slash).collect()
-    return Shape(
-        max((r["w"] or 0 for r in rows if r["status"] == "ok"), default=0), {r["status"]: r["n"] for r in rows}, any(r["b"] for r in rows),
-    )
+    # the generator keeps the fields from being split once for each use of them
+    once = records.select("status", "raw", tokenizer.where(F.col("fields"), lambda f: F.lit(True)).alias("fields"))
+    facts = [x for i, n in enumerate(wanted) for x in _facts(columns[n], f"c{i}")]
+    rows = [r.asDict() for r in once.groupBy("status").agg(F.max(F.size("fields")).alias("w"), F.count("*").alias("n"), slash, *facts).collect()]
+    good = next((r for r in rows if r["status"] == "ok"), {})
+    found = {name: {k: good.get(f"c{i}_{k}") or 0 for k in FACTS} for i, name in enumerate(wanted)}
+    return Shape(good.get("w") or 0, {r["status"]: r["n"] for r in rows}, any(r["b"] for r in rows), found)
+
+
+FACTS = ("n", "num", "int", "sig", "left", "right", "exp")
 
 
 def _facts(c: Column, key: str) -> list[Column]:
@@ -46,16 +57,12 @@ def _facts(c: Column, key: str) -> list[Column]:
     ]
 
 
-def types(cleaned: DataFrame, columns: dict[str, Column], options: ReadOptions) -> tuple[dict[str, str], list[str]]:
+def types(facts: dict[str, dict], columns: list[str], options: ReadOptions) -> tuple[dict[str, str], list[str]]:
     """(Spark type of each column, names of those whose numbers fit no type and stay text)."""
-    wanted = [n for n in columns if options.numeric(n)]
     out = dict.fromkeys(columns, "string")
     lost: list[str] = []
-    if not wanted:
-        return out, lost
-    found = cleaned.agg(*[x for i, n in enumerate(wanted) for x in _facts(columns[n], f"c{i}")]).first().asDict()
-    for i, name in enumerate(wanted):
-        n, num, whole, sig, left, right, exp = (found[f"c{i}_{k}"] or 0 for k in ("n", "num", "int", "sig", "left", "right", "exp"))
+    for name in (n for n in columns if n in facts):
+        n, num, whole, sig, left, right, exp = (facts[name][k] for k in FACTS)
         if not n or num < n:
             continue
         if whole == n:

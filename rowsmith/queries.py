@@ -370,7 +370,7 @@ def converters_more(spark, t):
 def field_size_limit(spark, t):
     """Fields over the limit, in bytes, make their row bad."""
     raw = text_of(t("documents").select("doc_id", F.regexp_replace("text", r'[\n\r"\\]', " ").alias("text")), "doc_id", "text")
-    return parse_column(raw, "value", ["doc_id", "text"], types={"doc_id": "bigint"}, field_size_limit=2000, strip_whitespace=False).select("doc_id")
+    return parse_column(raw, "value", ["doc_id", "text"], types={"doc_id": "bigint"}, field_size_limit=2000, strip_whitespace=False, on_bad_row="skip").select("doc_id")
 
 
 # --- rows: ragged, bad, numbered ----------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,6 +43,17 @@ def head(spark: SparkSession, path: str, n: int = MAX_SNIFF) -> tuple[bytes, lis
     return data, [f for f, _ in files], sum(k for _, k in files)
 
 
+def spool(spark: SparkSession, stream: Any, path: str) -> None:
+    """Copies an open stream, seekable or not, of bytes or text, to a path of the shared folder, a piece at a time."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        while part := stream.read(1 << 20):
+            out.write(bytearray(part.encode() if isinstance(part, str) else part))
+    finally:
+        out.close()
+
+
 def decoder(options: ReadOptions):
     """bytes -> str under the options: declared encoding, invalid sequences replaced as asked for."""
     name = options.file_encoding.split(":")[0]

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowsmith.errors import IncorrectOption
 from rowsmith.functions import tokenizer
 from rowsmith.functions import values as V
 from rowsmith.functions.dialect import Dialect, frame
@@ -49,12 +50,13 @@ class CsvReader:
     """
 
     def __init__(self, spark: SparkSession, path: Any = None, text: str | None = None, **options: Any) -> None:
-        if hasattr(path, "read"):  # an open stream, seekable or not
-            content = path.read()
-            path, text = None, content.decode(options.get("file_encoding", "utf-8").split(":")[0], "replace") if isinstance(content, bytes) else content
         self.spark, self.input = spark, path if text is None else text
         self.options = ReadOptions.of(**options)
         self.warnings: list[dict] = list(self.options.warnings)
+        if hasattr(path, "read"):  # an open stream, seekable or not
+            stream, path = path, scratch(spark, "input")
+            lines.spool(spark, stream, path)
+            self._check_mode(stream)
         self.errors: DataFrame | None = None
         self.bad_row_count = 0
         if text is None:
@@ -91,6 +93,15 @@ class CsvReader:
         if self.options.verbose != "quiet":
             log.warning(message)
 
+    def _check_mode(self, stream: Any) -> None:
+        """A stream of text was decoded by whoever opened it, so the declared encoding doesn't apply; UTF-8 is expected."""
+        said = getattr(stream, "encoding", None)
+        if not said:
+            return
+        if lines.is_utf8(self.options) and said.lower().replace("_", "-") not in ("utf-8", "utf8"):
+            self._warn("utf8_missing_binary_mode", f"the input is taken as UTF-8, but was opened as text in {said}; open it in binary mode")
+        self.options.file_encoding = "utf-8"
+
     def _open(self, sample: str, more: Callable[[], str | None]) -> None:
         o = self.options
         self.row_sep = sniff.row_sep(sample, o, self._warn) if o.row_sep == "auto" else o.row_sep
@@ -121,9 +132,9 @@ class CsvReader:
             rows = [("", r.file_line, r.csv_line, r.n_lines, r.raw, r.fields, r.status) for r in frame(found[n:], self.dialect, comment, n + 1, n + 1, o.field_size_limit)]
             return self.spark.createDataFrame(rows, records.SCHEMA)
         data = lines.read(self.spark, self.files, o, self.row_sep).filter(F.col("file_line") > self.preamble)
-        alone = records.single(data, self.dialect, o.comment_regexp)
-        # one pass decides whether lines may be read independently, and how wide the widest is
-        self._shape = infer.width(alone)
+        alone = self._judged(records.single(data, self.dialect, o.comment_regexp))
+        # one pass decides whether lines may be read independently, how wide the widest is, and of which types columns are
+        self._shape = self._survey(alone)
         if "open" not in self._shape.statuses:
             return alone
         steady = self.dialect.boundary == "standard" and (self.dialect.escaping != "auto" or not self._shape.backslash)
@@ -135,7 +146,20 @@ class CsvReader:
         # framing shuffles, and width, types and rows all need it: it is done once
         path = scratch(self.spark, "records")
         framed.write.parquet(path)
-        return self.spark.read.schema(records.SCHEMA).parquet(path)
+        return self._judged(self.spark.read.schema(records.SCHEMA).parquet(path))
+
+    def _judged(self, found: DataFrame) -> DataFrame:
+        o = self.options
+        return records.judge(found, len(self.file_headers) if o.missing_headers == "raise" else None, o.field_size_limit)
+
+    def _survey(self, found: DataFrame, names: dict[int, str] | None = None) -> infer.Shape:
+        """What all records look like, and the facts of columns (by place; the header's, if none are given) whose types are inferred."""
+        o = self.options
+        if names is None:
+            names = dict(enumerate(self.file_headers))
+        kept = select_names(list(names.values()), o) if o.typing == "column" else []
+        cells = {n: V.clean(F.get("fields", F.lit(i)), o) for i, n in names.items() if n in kept and n not in (o.schema or {})}
+        return infer.survey(found, cells, o)
 
     def dataframe(self) -> DataFrame:
         """Typed rows; absent values are null. Evaluates what needs a look at all rows: width, types, bad rows."""
@@ -148,9 +172,9 @@ class CsvReader:
         o = self.options
         self._shape = None
         found = self._records()
-        strict = len(self.file_headers) if o.missing_headers == "raise" else None
-        found = records.judge(found, strict, o.field_size_limit)
-        shape = infer.width(found) if self._shape is None or strict is not None or o.field_size_limit else self._shape
+        if self._text is not None:
+            found = self._judged(found)
+        shape = self._shape or self._survey(found)
         self.bad_row_count = quarantine.enforce(found, shape.statuses, o)
         self.errors = _last.errors = quarantine.bad_rows(found, o.collect_raw_lines)
         self._found = found
@@ -169,8 +193,10 @@ class CsvReader:
         )
         cell = lambda n: F.col(f"`{n}`")
         if o.typing == "column":
-            open_names = {n: cell(n) for n in kept if n not in (o.schema or {})}
-            kinds, lost = infer.types(cleaned, open_names, o)
+            facts = shape.facts
+            if len(names) > len(self.file_headers):  # columns that only rows wider than the header showed
+                facts = facts | self._survey(found, {i: n for i, n in enumerate(names) if i >= len(self.file_headers)}).facts
+            kinds, lost = infer.types(facts, [n for n in kept if n not in (o.schema or {})], o)
             for n in lost:
                 self._warn("numeric_overflow", f"numbers of column {n} fit no decimal type")
         else:
@@ -286,9 +312,12 @@ def parse_column(
     """Records held in a string column, one a row, as columns `names`, beside the columns `keep` of df.
 
     All of it is column expressions: nothing leaves the JVM and unused fields are pruned. Types are given, not
-    inferred; with `status`, bad records stay, with that column telling why, else they are dropped.
+    inferred. With `status`, bad records stay, with that column telling why; without, the first of them that is met
+    fails the query, or with `on_bad_row="skip"` they are dropped.
     """
     o = ReadOptions.of(**({"col_sep": ",", "user_provided_headers": names, "headers_in_file": False} | options))
+    if not status and o.on_bad_row not in ("raise", "skip"):
+        raise IncorrectOption("parse_column: on_bad_row must be raise or skip; give `status` to keep bad records")
     d = Dialect.of(o, o.col_sep)
     keep = keep or []
     hidden = [F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)]
@@ -307,6 +336,8 @@ def parse_column(
 
     def wanted(f: Column) -> Column:
         ok = F.lit(True) if status else state(f) == "ok"
+        if not status and o.on_bad_row == "raise":
+            ok = ok | F.raise_error(F.concat(F.lit("bad row ("), state(f), F.lit(") in column "), F.lit(column))).cast("boolean")
         if not (o.remove_empty_hashes and drop_blank):
             return ok
         some = F.exists(f, lambda x: ~x.rlike(V.BLANK) & ~tokenizer.cell(x, d).rlike(V.BLANK))
