@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from rowsmith import queries
+from rowsmith import queries, queries_more  # noqa: F401  (registers its queries with the others)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
