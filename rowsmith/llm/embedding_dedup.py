@@ -6,8 +6,11 @@
    that order, in double precision; the edges of partitions are compared in a second step. A task reduces the
    pairs at or above the threshold to a spanning forest before it emits them.
 3. The passes' forests are united into components.
-4. Links are counted inside each component exactly, block against block (blocks of about BLOCK vectors, counts
-   and no pairs), so a dense group isn't limited by the window.
+4. Links are counted inside each component exactly, so a dense group isn't limited by the window: a component of
+   up to BLOCK vectors all against all; a larger one by cells, the rings of RING angles around the nearest of up to LEADERS of
+   its vectors. By the triangle inequality of angles, most pairs of cells hold only linked vectors or none, and count by
+   their totals alone, so a group of copies around one vector takes time in proportion to its size, and nothing of it is
+   gathered. Vectors of the other pairs of cells are compared, block against block.
 
 A pair is missed only if no pass brings it, or a chain between its ends, into one window; see the tests and the
 README for the recall measured against brute force. No pair below the threshold is ever linked.
@@ -15,7 +18,8 @@ README for the recall measured against brute force. No pair below the threshold
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and those with a null
 label or null id, link with nothing and are their own component; vectors of different lengths are never compared;
 repeated rows are vectors of their own, linked with each other; rows with one id and different vectors share that
-id's component; an empty table gives an empty result; other columns are not read.
+id's component; labels that are no whole numbers are told apart by 64-bit hashes of their text, and ids have to be whole
+numbers; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowsmith.llm.common import connected_components, groups, local_forest, materialize, shuffle_partitions
 
 THRESHOLD, PASSES, WINDOW, BLOCK = 0.98, 12, 24, 1024
+#: Leaders of a component of more than one block, and rings to the threshold's angle.
+LEADERS, RINGS = 32, 4
+#: By so much do angles have to be clear of the threshold before a pair of cells counts without a look.
+CLEAR = 1e-6
 
 
 def packed(lists: pa.Array) -> pa.Array:
@@ -89,6 +98,116 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 _FOUND = ["a", "b", "edge", "side", "label", "dim", "pass", "vec"]
 
 
+GROUP = ["component", "label", "dim"]
+
+
+def links_inside(members: DataFrame, size: int, threshold: float, parts: int) -> DataFrame:
+    """(label, vec, more): for each of `members` (component, label, dim, id, vec, n), the sum of n over all others of its component,
+    label and length with cosine >= threshold."""
+    spark = members.sparkSession
+    sizes = members.groupBy(*GROUP).agg(F.count("*").alias("size"))
+    sizes = materialize(spark, sizes.withColumn("chunks", F.ceil(F.col("size") / (4 * BLOCK)).cast("int")), "emb-sizes")
+    sized = members.join(sizes, GROUP)
+    whole = sized.filter(F.col("size") <= BLOCK).select(*GROUP, *(F.lit(0).alias(c) for c in ("sa", "ra", "sb", "rb", "i", "j", "side")), "id", "vec", "n")
+    large = sized.filter(F.col("size") > BLOCK)
+
+    # up to LEADERS vectors of each large group, and every vector's nearest one
+    draw = F.xxhash64("id", "vec")
+    leaders = large.groupBy(*GROUP, F.pmod(draw, F.lit(LEADERS)).cast("int").alias("slot")).agg(F.min_by("vec", F.struct(draw, "id")).alias("vec"))
+    leaders = materialize(spark, leaders, "emb-leaders")
+    ring = float(np.arccos(threshold) / RINGS)
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int")
+    asked = large.select(*GROUP, chunk.alias("chunk"), F.lit(-1).alias("slot"), "id", "vec", "n").unionByName(
+        leaders.join(sizes, GROUP).select(*GROUP, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "slot", F.lit(0).cast("long").alias("id"), "vec", F.lit(0).cast("long").alias("n")))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 4):
+            slot = table.column("slot").to_numpy()
+            lead, rest = np.flatnonzero(slot >= 0), table.filter(pa.array(slot < 0))
+            centres = unit(table.column("vec").take(pa.array(lead)), size)
+            for lo in range(0, rest.num_rows, BLOCK):
+                part = rest.slice(lo, BLOCK)
+                cos = unit(part.column("vec"), size) @ centres.T
+                best = cos.argmax(1)
+                angle = np.arccos(np.clip(cos[np.arange(len(best)), best], -1, 1))
+                out = part.drop(["chunk", "slot"]).append_column("slot", pa.array(slot[lead][best].astype(np.int32)))
+                yield from out.append_column("ring", pa.array((angle / ring).astype(np.int32))).combine_chunks().to_batches()
+
+    kinds = "component long, label long, dim int, id long, vec binary, n long, slot int, ring int"
+    dealt = asked.repartition(parts, *GROUP, "chunk").sortWithinPartitions(*GROUP, "chunk", "slot")
+    placed = materialize(spark, dealt.mapInArrow(nearest, kinds), "emb-cells")
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 3):
+            v, slot = unit(table.column("vec"), size), table.column("slot").to_numpy()
+            k = len(slot)
+            angle = np.arccos(np.clip(v @ v.T, -1, 1))
+            np.fill_diagonal(angle, 0.0)
+            same = [pa.array([table.column(c)[0].as_py()] * (k * k), t) for c, t in zip(GROUP, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.repeat(slot, k)), pa.array(np.tile(slot, k)), pa.array(angle.ravel())], names=[*GROUP, "sa", "sb", "angle"])
+
+    angles = leaders.select(*GROUP, "slot", "vec").repartition(parts, *GROUP).sortWithinPartitions(*GROUP).mapInArrow(
+        apart, "component long, label long, dim int, sa int, sb int, angle double")
+    cells = materialize(
+        spark, placed.groupBy(*GROUP, "slot", "ring").agg(F.sum("n").alias("total"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "emb-rings")
+    one = lambda x: cells.select(*GROUP, F.col("slot").alias(f"s{x}"), F.col("ring").alias(f"r{x}"), F.col("total").alias(f"t{x}"), F.col("blocks").alias(f"b{x}"))
+    # as many pairs as a group has cells, squared, whatever its size
+    a0, a1, b0, b1 = F.col("ra") * ring, (F.col("ra") + 1) * ring, F.col("rb") * ring, (F.col("rb") + 1) * ring
+    d, limit = F.col("angle"), float(np.arccos(threshold))
+    pairs = one("a").join(angles, [*GROUP, "sa"]).join(one("b"), [*GROUP, "sb"])
+    pairs = pairs.withColumn("most", d + a1 + b1).withColumn("least", F.greatest(d - a1 - b1, a0 - d - b1, b0 - d - a1)).filter(F.col("least") <= limit + CLEAR)
+    pairs = materialize(spark, pairs, "emb-pairs")
+    own = (F.col("sa") == F.col("sb")) & (F.col("ra") == F.col("rb"))
+    sure = pairs.filter(F.col("most") <= limit - CLEAR).groupBy(*GROUP, F.col("sa").alias("slot"), F.col("ra").alias("ring")).agg(
+        F.sum("tb").alias("total"), F.max(own.cast("int")).alias("own"))
+    by_total = placed.join(sure, [*GROUP, "slot", "ring"]).select("label", "vec", (F.col("total") - F.col("own") * F.col("n")).alias("more"))
+
+    # the rest: blocks of the two cells against each other, each pair of blocks once
+    rest = pairs.filter(F.col("most") > limit - CLEAR).filter((F.struct("sa", "ra") < F.struct("sb", "rb")) | own).select(*GROUP, "sa", "ra", "sb", "rb", "ba", "bb")
+    mine = lambda b: F.pmod(F.xxhash64("id"), F.col(b).cast("long")).cast("int")
+
+    def sent(side: int, x: str, y: str) -> DataFrame:
+        """Members of cell x of each pair, once for each block of cell y; a cell against itself goes by one side."""
+        met = placed.join(rest if side == 0 else rest.filter(~own), (placed["slot"] == rest[f"s{x}"]) & (placed["ring"] == rest[f"r{x}"]) & _same(placed, rest))
+        met = met.select(*[placed[c] for c in GROUP], "sa", "ra", "sb", "rb", mine(f"b{x}").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(f"b{y}") - 1)).alias("other"), placed["id"], placed["vec"], placed["n"])
+        i, j = (F.when(own, F.least("mine", "other")).otherwise(F.col("mine")), F.when(own, F.greatest("mine", "other")).otherwise(F.col("other")))
+        if side:
+            i, j = F.col("other"), F.col("mine")
+        at = F.when(own, (F.col("mine") > F.col("other")).cast("int")).otherwise(F.lit(side)) if side == 0 else F.lit(1)
+        return met.select(*GROUP, "sa", "ra", "sb", "rb", i.alias("i"), j.alias("j"), at.alias("side"), "id", "vec", "n")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 9):
+            n, side = table.column("n").to_numpy(), table.column("side").to_numpy()
+            v = unit(table.column("vec"), size)
+            alike = all(table.column(x)[0] == table.column(y)[0] for x, y in (("sa", "sb"), ("ra", "rb"), ("i", "j")))
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            total = np.zeros(len(n), np.int64)
+            for lo in range(0, len(left), BLOCK):
+                x = left[lo : lo + BLOCK]
+                y = left if alike else right
+                near = v[x] @ v[y].T >= threshold
+                if alike:
+                    near &= x[:, None] != y
+                else:
+                    total[y] += n[x] @ near
+                total[x] += near @ n[y]
+            hit = total > 0
+            if hit.any():
+                got = table.select(["label", "vec"]).filter(pa.array(hit)).append_column("more", pa.array(total[hit]))
+                yield from got.combine_chunks().to_batches()
+
+    keys = [*GROUP, "sa", "ra", "sb", "rb", "i", "j"]
+    compared = whole.unionByName(sent(0, "a", "b")).unionByName(sent(1, "b", "a")).repartition(parts, *keys).sortWithinPartitions(*keys)
+    counted = compared.mapInArrow(count, "label long, vec binary, more long")
+    out = counted.unionByName(by_total).groupBy("label", "vec").agg(F.sum("more").alias("more"))
+    return materialize(spark, out, "emb-more")
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return (a["component"] == b["component"]) & (a["label"] == b["label"]) & (a["dim"] == b["dim"])
+
+
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
     threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, seed: int = 5,
@@ -97,8 +216,13 @@ def near_duplicates(
     spark = vectors.sparkSession
     parts = shuffle_partitions(spark)
     size = 4 if dict(vectors.dtypes)[vec_col] == "array<float>" else 8
+    whole = lambda c: isinstance(vectors.schema[c].dataType, T.IntegralType)
+    if not whole(id_col):
+        raise ValueError(f"{id_col} must hold whole numbers")
+    label = F.col(f"`{label_col}`")
+    label = label.cast("long") if whole(label_col) else F.when(label.isNotNull(), F.xxhash64(label.cast("string")))
     base = vectors.select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"),
+        F.col(f"`{id_col}`").cast("long").alias("id"), label.alias("label"),
         F.col(f"`{vec_col}`").cast("array<float>" if size == 4 else "array<double>").alias("list"),
     )
 
@@ -194,41 +318,10 @@ def near_duplicates(
     edges = found.filter("edge is null").select("a", "b").unionByName(borders.mapInArrow(across, "a long, b long"))
     member = materialize(spark, connected_components(spark, edges), "emb-components")
 
-    # Exact counts inside components: a component of several blocks is a task for each pair of blocks.
-    sizes = materialize(spark, member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "emb-sizes")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
-    # several representatives of one id are that many rows here
-    placed = (
-        reps.select(F.col("rep").alias("id"), F.col("label").alias("lab"), "vec", "n").join(member, F.col("id") == F.col("node"))
-        .join(sizes, "component").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "lab", "vec", "n")
-    )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, 3):
-            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            ids, n, mine, lab = (table.column(c).to_numpy() for c in ("id", "n", "mine", "lab"))
-            raw = table.column("vec")
-            length = np.array([len(x) for x in raw.to_pylist()])
-            total = np.zeros(len(ids), np.int64)
-            for dim in np.unique(length):
-                at = np.flatnonzero(length == dim)
-                v = unit(raw.take(pa.array(at)), size)
-                sides = [(at, at)] if i == j else [(at[mine[at] == i], at[mine[at] == j]), (at[mine[at] == j], at[mine[at] == i])]
-                rank = np.empty(len(ids), np.int64)
-                rank[at] = np.arange(len(at))
-                for x, y in sides:
-                    for lo in range(0, len(x), BLOCK):
-                        part = x[lo : lo + BLOCK]
-                        near = (v[rank[part]] @ v[rank[y]].T >= threshold) & (lab[part][:, None] == lab[y]) & (part[:, None] != y)
-                        total[part] += near @ n[y]
-            if total.any():
-                hit = total > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(lab[hit]), raw.combine_chunks().filter(pa.array(hit)), pa.array(total[hit])], names=["id", "label", "vec", "more"])
-
-    keys = ["component", "i", "j"]
-    counted = placed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(count, "id long, label long, vec binary, more long")
-    more = counted.groupBy(F.col("label").alias("l2"), F.col("vec").alias("v2")).agg(F.sum("more").alias("more"))
+    inside = reps.select(F.col("rep").alias("id"), "label", F.octet_length("vec").alias("dim"), "vec", "n").join(
+        member.select(F.col("node").alias("id"), "component"), "id")
+    more = links_inside(materialize(spark, inside, "emb-inside"), size, threshold, parts)
+    more = more.select(F.col("label").alias("l2"), F.col("vec").alias("v2"), "more")
     # Multiplicities and counts go back to each salt that holds copies of a representative.
     reps_out = (
         reps.join(more, (F.col("label") == F.col("l2")) & (F.col("vec") == F.col("v2")), "left")
