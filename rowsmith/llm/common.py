@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words everywhere in this subpackage: space, TAB, LF, VT, FF, CR.
@@ -18,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or, on one machine, one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}/checkpoints/rowsmith-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -135,6 +137,36 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     )
 
 
+def running(rows: DataFrame, order: list, sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """rows with, for each name of `sums`, the sum of its column over all rows before this one in a total order.
+
+    Rows are range-partitioned by the order and written; each range sums by itself, and one row a range goes
+    through a window over the ranges.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(partitions or shuffle_partitions(spark), *order).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(spark, dealt, "running")
+    whole = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("_range", *(F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_{n}") for n in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(whole, "_range")
+    return out.select(*rows.columns, *((F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{n}")).alias(n) for n, c in sums.items()))
+
+
+#: Rows of one key that a task may have to order; keys with more are cut into SUBS parts by their rows' places.
+HOT, SUBS = 200_000, 64
+
+
+def parts_of_hot(rows: DataFrame, keys: list[str], position: str = "position", hot: int = HOT) -> DataFrame:
+    """rows with `sub`: 0, or one of SUBS parts, by the place in a written table, for keys that more than `hot` rows have."""
+    big = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(*(F.col(k).alias(f"_{k}") for k in keys), F.lit(True).alias("_big"))
+    big = materialize(rows.sparkSession, big, "hot")  # few rows: Spark broadcasts them by their size
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = rows.join(big, on, "left").withColumn("sub", F.when(F.col("_big"), F.pmod(F.xxhash64(position), F.lit(SUBS))).otherwise(0).cast("int"))
+    return out.select(*rows.columns, "sub")
+
+
 def salted_lookup(rows: DataFrame, key: str, salt: str, table: DataFrame) -> DataFrame:
     """rows joined with the one row that `table` has for their key (other rows: nulls), whatever a key's share of them.
 

@@ -8,7 +8,8 @@ cumulative rounding down the sizes, so a source misses its target by at most abo
 
 Hot sources cost nothing special: the histogram is pre-aggregated map-side, prefix sums run over blocks of
 sizes, and rows are ranked inside (source, size, salt) cells, so equal copies that hold a third of all rows
-are spread over every salt.
+are spread over every salt; a cell that rows of one id fill is cut by their places. Sources may be many: their
+order and the level of the targets come from prefix sums over ranges of them.
 
 Defined cases: a null text has size 0; a source of size 0 has target 0 and takes nothing; a null source is a
 source of its own, last in order; repeated rows are separate rows; an empty table gives an empty result; other
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import WORD, materialize, shuffle_partitions
+from rowsmith.llm.common import SUBS, WORD, materialize, parts_of_hot, running, shuffle_partitions
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -30,7 +31,7 @@ SHARE = 1.5
 MOST = 2.0
 #: Copies are summed as integers of this unit, so prefix sums don't depend on their order.
 UNIT = 1 << 24
-BLOCK = 16
+BLOCK = 4
 
 
 def word_count(text: Column) -> Column:
@@ -44,21 +45,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     found by a prefix sum over the sources ordered by stop / weight.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    per = running(per, [F.col("source").asc_nulls_last()], {"s": F.lit(1).cast("long")})
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("s") % len(weights) + 1).cast("int"))
-    per = per.withColumn("s", rank).withColumn("w", w).withColumn("stop", F.col("source_size") * F.lit(most))
-    by = Window.orderBy(F.col("stop") / F.col("w"), "s")
-    rows = by.rowsBetween(Window.unboundedPreceding, -1)
-    total = share * F.sum("source_size").over(Window.partitionBy())
-    per = (
-        per.withColumn("total", total)
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum("stop").over(rows), F.lit(0.0)))
-                    / F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("ratio", F.col("stop") / F.col("w"))
-        .withColumn("ratio", F.when(F.col("level") <= F.col("ratio"), F.col("ratio")))
-        .withColumn("level", F.min_by("level", "ratio").over(Window.partitionBy()))
-    )
-    target = F.coalesce(F.least(F.col("stop"), F.col("level") * F.col("w")), F.col("stop"))
+    per = per.withColumn("w", w).withColumn("stop", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("stop") / F.col("w"))
+    per = materialize(per.sparkSession, running(per, ["ratio", "s"], {"stops": F.col("stop"), "weights": F.col("w")}), "mix-levels")
+    size, weight = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    level = (F.lit(share * size) - F.col("stops")) / (F.lit(weight) - F.col("weights"))
+    level = per.filter(level <= F.col("ratio")).agg(F.min_by(level, F.struct("ratio", "s"))).first()[0]
+    target = F.col("stop") if level is None else F.least(F.col("stop"), F.lit(level) * F.col("w"))
     return per.select("source", "s", "n_docs", "source_size", target.cast("double").alias("target"))
 
 
@@ -118,7 +112,10 @@ def mix(
     sizes = materialize(spark, docs.select(
         F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"),
         word_count(F.col(f"`{text_col}`")).alias("size"),
-    ).withColumn("draw", draw).withColumn("salt", F.pmod(F.shiftright("draw", 17), F.lit(salts)).cast("int")), "mix-sizes")
+    ).withColumn("draw", draw).withColumn("salt", F.pmod(F.shiftright("draw", 17), F.lit(salts)).cast("int"))
+        .withColumn("position", F.monotonically_increasing_id()), "mix-sizes")
+    # rows of one id and size are alike in what they get, so those of a cell that they fill may be cut anyhow
+    sizes = parts_of_hot(sizes, ["source", "size", "salt"]).withColumn("salt", F.col("salt") * SUBS + F.col("sub")).drop("sub", "position")
     per = materialize(spark, targets(sizes, weights, share, most), "mix-targets")
     grain = sizes.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     known = per.withColumn("mean", F.col("source_size") / F.col("n_docs"))

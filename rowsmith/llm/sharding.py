@@ -4,7 +4,8 @@ The ring has 2**bits cells. Every shard owns `vnodes` arcs of it; a row's id fal
 A shard holds a bounded number of rows; rows that an arc can't place in its full shard continue clockwise to
 the next arc, and so on. The walk needs only the number of rows per arc: shards * vnodes numbers, fixed by the
 parameters, whatever the data. Rows are then ranked cell by cell and read their shard and slot off the
-resulting intervals, so no task sees more than one cell's rows at once. A shard that joins the ring takes over
+resulting intervals, so no task sees more than one cell's rows at once, and a cell that rows of one id (or without one) fill is
+cut by their places. A shard that joins the ring takes over
 arcs of its own, and the others keep what still fits.
 
 With `slack` 0 the loads are exact (`rows` law: counts at most one apart). With slack the bound is
@@ -21,7 +22,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import materialize
+from rowsmith.llm.common import materialize, parts_of_hot
 
 SHARDS, VNODES, BITS = 8, 64, 16
 
@@ -87,7 +88,7 @@ def shard(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS,
     vnodes: int = VNODES, bits: int = BITS, slack: float = 0.0,
 ) -> DataFrame:
-    """One row per row of docs: id_col, size (bytes + 1), text_crc32, shard, slot (gapless in a shard), hops."""
+    """One row per row of docs: id_col, size (bytes + 1), text_crc32, shard, slot (gapless in a shard), arc (of the row's cell)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     # binary, so that a byte length and not a character count is meant
@@ -97,21 +98,22 @@ def shard(
     )
     point = F.xxhash64(F.lit("ring"), F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("#"), F.col("text_crc32").cast("string"))))
     keyed = keyed.withColumn("point", point).withColumn("cell", F.shiftrightunsigned("point", 64 - bits))
-    keyed = materialize(spark, keyed, "shard-keys")
+    keyed = materialize(spark, keyed.withColumn("position", F.monotonically_increasing_id()), "shard-keys")
+    keyed = parts_of_hot(keyed, ["cell"])
 
     arcs = ring(shards, vnodes, bits)
     cells = _values(spark, [(a, lo, hi) for a, (_, lo, hi) in enumerate(arcs)], "arc, lo, hi").select(
         "arc", F.explode(F.sequence("lo", "hi")).alias("cell"))
-    filled = materialize(spark, keyed.groupBy("cell").agg(F.count("*").alias("n")).join(cells, "cell"), "shard-cells")
+    filled = materialize(spark, keyed.groupBy("cell", "sub").agg(F.count("*").alias("n")).join(cells, "cell"), "shard-cells")
     per_arc = {r["arc"]: r["n"] for r in filled.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
     counts = [per_arc.get(a, 0) for a in range(len(arcs))]
     owners = [s for s, _, _ in arcs]
     pieces = walk(owners, counts, bounds(sum(counts), shards, slack))
     plan = _values(spark, pieces, "arc, lo, hi, shard, first")
-    before = Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = filled.select("cell", "arc", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("point", "_id", "text_crc32", "size")) - 1
-    ranked = keyed.withColumn("rank", rank).join(starts, "cell").withColumn("rank", F.col("rank") + F.col("before"))
+    before = Window.partitionBy("arc").orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = filled.select("cell", "sub", "arc", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("cell", "sub").orderBy("point", "_id", "text_crc32", "size")) - 1
+    ranked = keyed.withColumn("rank", rank).join(starts, ["cell", "sub"]).withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.alias("r").join(
         F.broadcast(plan).alias("p"),  # at most two rows an arc and shard: bounded by the parameters
         (F.col("r.arc") == F.col("p.arc")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")),

@@ -10,11 +10,12 @@ Only texts are labelled, so training alternates: the current model picks the str
 positives and the strongest and some random windows of clean texts as negatives, then back-propagation through
 time fits them. It starts from embeddings that hold each feature's log odds in the labelled sample.
 
-The labelled sample is bounded: at most `per_class` texts of each label, the first by a hash of their id
-(a documented parameter); a fifth of it is kept for the calibration. All texts are scored whole.
+The labelled sample is bounded: at most `per_class` texts of each label, the first by a hash of their id, and of these
+no more than have `class_bytes` bytes together (documented parameters); a fifth of it is kept for the calibration. All texts are scored whole.
 
 Defined cases: a null or empty text is one empty window with the lowest score; null ids are scored, and
-never learnt from; repeated rows are rows of their own; without labels of both kinds every score is 0; other
+never learnt from; repeated rows are rows of their own, and one text to learn from; a document labelled both ways is
+toxic; without labels of both kinds every score is 0; other
 columns are not read.
 """
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +36,7 @@ WINDOW, STRIDE = 32, 16
 WORDS, GRAMS = 1 << 16, 1 << 16
 DIM, HIDDEN, ATTEND = 8, 12, 8
 GRAM_SIZES = (3, 4, 5)
-PER_CLASS = 1200
+PER_CLASS, CLASS_BYTES = 1200, 64 << 20
 THRESHOLD = 0.3
 #: Windows and words are handled in blocks of so many.
 BLOCK = 4096
@@ -340,15 +341,21 @@ def calibrate(best: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, per_class: int = PER_CLASS) -> Net | None:
-    """A network from at most per_class labelled texts of each kind among the rows that `learn` (of doc_id) admits."""
-    known = labels.filter(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Net | None:
+    """A network from at most per_class labelled texts, of at most class_bytes together, of each kind among the rows that
+    `learn` (of doc_id) admits."""
+    # of conflicting labels of one document, the toxic one counts
+    known = labels.filter(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     parts = [known.filter(F.col("toxic") == k).orderBy(draw, "doc_id").limit(per_class) for k in (0, 1)]
     sample = materialize(docs.sparkSession, parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("_id"), "toxic"), "toxic-sample")
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    # the sample's ids are bounded by 2 * per_class, so they are broadcast; rows repeated with one id count once
-    table = texts.join(F.broadcast(sample), "_id").dropDuplicates(["_id"]).toArrow()
+    # the sample's ids are bounded by 2 * per_class, so they are broadcast; of rows repeated with one id the last text counts
+    met = texts.join(F.broadcast(sample), "_id").groupBy("_id", "toxic")
+    so_far = Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit("toxicity"), F.col("_id")), "_id")
+    short = met.agg(F.max(F.octet_length("text")).alias("size")).withColumn("so_far", F.sum("size").over(so_far)).filter(F.coalesce("so_far", F.lit(0)) <= class_bytes)
+    short = materialize(docs.sparkSession, short.select("_id", "toxic"), "toxic-sample")
+    table = texts.join(F.broadcast(short), "_id").groupBy("_id", "toxic").agg(F.max("text").alias("text")).toArrow()
     label = table.column("toxic").to_numpy() if table.num_rows else np.zeros(0)
     if not len(label) or label.min() == label.max():
         return None

@@ -442,6 +442,23 @@ def test_toxicity_on_held_out_texts(spark):
     assert out[903] > out[900]
 
 
+def test_toxicity_of_conflicting_labels_and_repeated_rows(spark):
+    """Reruns agree, whatever the order of rows; a document labelled both ways is toxic; nothing fails on an empty table."""
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 20, VOCAB) + (" snarlix grumble" if i % 2 else ""), "en") for i in range(80)]
+    labels = [(i, 1, i % 2) for i in range(80)] + [(i, 1, 0) for i in range(80)]
+    schema = "doc_id long, quality int, toxic int"
+
+    def scores(rows, labels):
+        net = toxicity.fit(docs(spark, rows).repartition(3), spark.createDataFrame(labels, schema), F.lit(True), "doc_id", "text")
+        return sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs(spark, rows[:80]), net).collect())
+
+    first = scores(rows + rows, labels)
+    assert first == scores((rows + rows)[::-1][:80] + rows, labels[::-1])
+    assert np.mean([s for i, s in first if i % 2]) > 2 * np.mean([s for i, s in first if not i % 2])
+    assert toxicity.fit(docs(spark, []), spark.createDataFrame(labels, schema), F.lit(True), "doc_id", "text") is None
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs(spark, [(1, "x", "en"), (2, None, "en")])
