@@ -24,6 +24,9 @@ def pattern(d: Dialect, backslash: bool) -> str:
     s, q = java(d.col_sep), java(d.quote)
     blank = f"(?:(?!{s})[ \\t])*+" if d.strip else ""
     close = f"(?={s}|\\z)"
+    if d.boundary == "legacy":  # any quote opens or closes, wherever it stands
+        body = f"\\\\[\\s\\S]|[^{q}\\\\]++" if backslash else f"[^{q}]++"
+        return f"{s}(?:{q}(?:{body})*+{q}|(?!{s})[^{q}])*+"
     # a quote that is part of a quoted field: doubled with something behind it, the first of two at the very end,
     # or one that nothing may close
     inner = f"{q}{q}(?=[\\s\\S])|{q}(?={q}\\z)|{q}(?!{q}|{s}|\\z)"
@@ -44,16 +47,14 @@ def cell(raw: Column, d: Dialect) -> Column:
     """A raw field without blanks around it, its enclosing quotes, and with doubled quotes made single."""
     q = d.quote
     strip = (lambda c: F.btrim(c, F.lit(BLANK))) if d.strip else (lambda c: c)
-    raw = strip(raw)
-    quoted = (F.length(raw) > 1) & raw.startswith(q) & raw.endswith(q)
-    inner = F.when(quoted, strip(raw.substr(F.lit(2), F.length(raw) - 2))).otherwise(raw)
-    return F.when(F.instr(raw, q) == 0, raw).otherwise(F.replace(inner, F.lit(q + q), F.lit(q)))
+    bare = strip(raw)
+    quoted = (F.length(bare) > 1) & bare.startswith(q) & bare.endswith(q)
+    inner = F.when(quoted, strip(bare.substr(F.lit(2), F.length(bare) - 2))).otherwise(bare)
+    return F.when(F.instr(raw, q) == 0, bare).otherwise(F.replace(inner, F.lit(q + q), F.lit(q)))
 
 
 def tokens(line: Column, d: Dialect) -> Column:
-    """Raw tokens of a line under the dialect's escaping; null if a quote is open. For boundary `standard`."""
-    if d.boundary != "standard":
-        raise ValueError("column expressions split only with standard quote boundaries")
+    """Raw tokens of a line under the dialect's escaping; null if a quote is open."""
     rfc, back = _tokens(line, d, False), _tokens(line, d, True)
     whole = lambda t: F.when(_covers(t, line, d), t)
     if d.escaping == "double_quotes":

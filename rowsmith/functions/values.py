@@ -24,9 +24,14 @@ def null_matching(c: Column, pattern: str) -> Column:
     return F.when(~c.rlike(pattern), c)
 
 
+def is_blank(c: Column) -> Column:
+    """Whether there is nothing but Unicode white space; what begins with a visible ASCII character is told without a pattern."""
+    return ~((c >= "!") & (c < "\x7f")) & c.rlike(BLANK)
+
+
 def blank_to_null(c: Column) -> Column:
     """Null where there is nothing but Unicode white space."""
-    return F.when(~c.rlike(BLANK), c)
+    return F.when(~is_blank(c), c)
 
 
 def zero_to_null(c: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Where every line stands alone, each is its own record. Where quotes span lines, a line is a function from "inside
 quotes or not" before it to the same after it; composing these in order gives the state at every line, so records
-are joined in parallel. Only `auto` escaping with backslashes in the file, whose choice falls per record, and
-`legacy` boundaries are framed by a stream over each file.
+are joined in parallel. Under `auto` escaping a record goes on only while it is open by either convention, so "inside"
+is one state there too. Only files in which a record grows past `field_size_limit` are framed by a stream over each.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowsmith.functions import tokenizer
-from rowsmith.functions.dialect import Dialect, frame, split
+from rowsmith.functions.dialect import Dialect, frame
+from rowsmith.sources.scratch import scratch
 
 SCHEMA = "file string, file_line long, csv_line long, n_lines int, raw string, fields array<string>, status string"
 
@@ -27,23 +28,20 @@ def single(lines: DataFrame, d: Dialect, comment: str | None) -> DataFrame:
     if comment:
         lines = lines.filter(~F.col("raw").rlike(comment))
     base = lines.select("file", "file_line", F.col("file_line").alias("csv_line"), F.lit(1).alias("n_lines"), "raw")
-    if d.boundary == "standard":
-        out = base.withColumn("fields", tokenizer.fields(F.col("raw"), d))
-        return out.withColumn("status", F.when(F.col("fields").isNull(), "open").otherwise("ok"))
+    out = base.withColumn("fields", tokenizer.fields(F.col("raw"), d))
+    return out.withColumn("status", F.when(F.col("fields").isNull(), "open").otherwise("ok"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [split(x, d) for x in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([None if o else f for f, o in found], pa.list_(pa.string())), pa.array(["open" if o else "ok" for _, o in found], pa.string())],
-                names=["file", "file_line", "csv_line", "n_lines", "raw", "fields", "status"],
-            )
 
-    return base.mapInArrow(run, SCHEMA)
+#: Bytes of a record that spans lines beyond which it isn't put together: a quote that never closes may swallow a whole file.
+MOST_BYTES = 256 << 20
+
 
+def joined(
+    lines: DataFrame, d: Dialect, comment: str | None, first_record: int = 1, stretch: int = 100_000, most: int | None = None,
+) -> DataFrame:
+    """Records that may span lines, without a sequential pass. See SCHEMA.
 
-def joined(lines: DataFrame, d: Dialect, comment: str | None, first_record: int = 1, stretch: int = 100_000) -> DataFrame:
-    """Records that may span lines, without a sequential pass. See SCHEMA; for boundary `standard`.
+    With `most`, a record of more bytes is malformed and has no text: its lines are counted, not gathered.
 
     A line's function is the identity, a flip, or a constant. The state before a line is the last constant's value,
     flipped as often as flips follow it; per stretch of lines by a window, between stretches by one row each.
@@ -83,6 +81,12 @@ def joined(lines: DataFrame, d: Dialect, comment: str | None, first_record: int
     at = inner.join(starts, ["file", "part"]).withColumn("begin", ((F.coalesce("last", "enter") + F.col("odd")) % 2 == 0).cast("int"))
     so_far = Window.partitionBy("file", "part").orderBy("file_line").rowsBetween(Window.unboundedPreceding, 0)
     at = at.withColumn("record", F.col("base") + F.sum("begin").over(so_far))
+    swallowed = None
+    if most is not None:
+        at = _written(at.select("file", "record", "file_line", "raw"))
+        sizes = at.groupBy("file", "record").agg(F.sum(F.octet_length("raw") + len(d.row_sep.encode())).alias("bytes"), F.count("*").alias("n"), F.min("file_line").alias("first"))
+        swallowed = _written(sizes.filter(F.col("bytes") > most))  # few rows, which Spark broadcasts by their size
+        at = at.join(swallowed.select("file", "record"), ["file", "record"], "left_anti")
     whole = at.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("file_line", "raw"))).alias("l"))
     out = whole.select(
         "file", F.col("l")[0]["file_line"].alias("file_line"), (F.col("record") + first_record - 1).alias("csv_line"), F.size("l").alias("n_lines"),
@@ -90,7 +94,18 @@ def joined(lines: DataFrame, d: Dialect, comment: str | None, first_record: int
     if comment:
         out = out.filter(~((F.col("n_lines") == 1) & F.col("raw").rlike(comment)))
     out = out.withColumn("fields", tokenizer.fields(F.col("raw"), d))
-    return out.withColumn("status", F.when(F.col("fields").isNull(), "malformed").otherwise("ok"))
+    out = out.withColumn("status", F.when(F.col("fields").isNull(), "malformed").otherwise("ok"))
+    if swallowed is None:
+        return out
+    return out.unionByName(swallowed.select(
+        "file", F.col("first").alias("file_line"), (F.col("record") + first_record - 1).alias("csv_line"), F.col("n").cast("int").alias("n_lines"),
+        F.lit(None).cast("string").alias("raw"), F.lit(None).cast("array<string>").alias("fields"), F.lit("malformed").alias("status")))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "records")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stitched(lines: DataFrame, d: Dialect, comment: str | None, limit: int | None = None) -> DataFrame:

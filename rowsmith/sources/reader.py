@@ -137,16 +137,20 @@ class CsvReader:
         self._shape = self._survey(alone)
         if "open" not in self._shape.statuses:
             return alone
-        steady = self.dialect.boundary == "standard" and (self.dialect.escaping != "auto" or not self._shape.backslash)
         self._shape = None
-        if steady and o.field_size_limit is None:
-            framed = records.joined(data, self.dialect, o.comment_regexp, self.preamble + 1)
-        else:
-            framed = records.stitched(data, self.dialect, o.comment_regexp, o.field_size_limit)
+        most = records.MOST_BYTES if self.file_size > records.MOST_BYTES else None
+        framed = records.joined(data, self.dialect, o.comment_regexp, self.preamble + 1, most=most)
         # framing shuffles, and width, types and rows all need it: it is done once
         path = scratch(self.spark, "records")
         framed.write.parquet(path)
-        return self._judged(self.spark.read.schema(records.SCHEMA).parquet(path))
+        found = self.spark.read.schema(records.SCHEMA).parquet(path)
+        if o.field_size_limit is not None:
+            # a record that grows past the limit ends there, and what follows is read anew, in these files
+            long = found.filter((F.col("n_lines") > 1) & (F.coalesce(F.octet_length("raw"), F.lit(2**31 - 1)) > o.field_size_limit)).select("file").distinct()
+            if not long.isEmpty():
+                again = records.stitched(data.join(long, "file", "left_semi"), self.dialect, o.comment_regexp, o.field_size_limit)
+                found = found.join(long, "file", "left_anti").unionByName(again)
+        return self._judged(found)
 
     def _judged(self, found: DataFrame) -> DataFrame:
         o = self.options
@@ -184,7 +188,7 @@ class CsvReader:
 
         def wanted(f: Column) -> Column:
             ok = F.col("status") == "ok"
-            return ok & F.exists(f, lambda x: ~x.rlike(V.BLANK)) if o.remove_empty_hashes else ok
+            return ok & F.exists(f, lambda x: ~V.is_blank(x)) if o.remove_empty_hashes else ok
 
         good = found.select("file", "file_line", "csv_line", tokenizer.where(F.col("fields"), wanted).alias("fields"))
         cleaned = good.select(
@@ -340,7 +344,7 @@ def parse_column(
             ok = ok | F.raise_error(F.concat(F.lit("bad row ("), state(f), F.lit(") in column "), F.lit(column))).cast("boolean")
         if not (o.remove_empty_hashes and drop_blank):
             return ok
-        some = F.exists(f, lambda x: ~x.rlike(V.BLANK) & ~tokenizer.cell(x, d).rlike(V.BLANK))
+        some = F.exists(f, lambda x: ~V.is_blank(x) & ((F.instr(x, d.quote) == 0) | ~V.is_blank(tokenizer.cell(x, d))))
         return ok & (F.coalesce(some, F.lit(True)) if status else some)
 
     split = raw.select(*hidden, tokenizer.where(tokenizer.raw_fields(F.col("_raw"), d), wanted).alias("_f"))
@@ -376,7 +380,7 @@ def parse_documents(
 
     def wanted(f: Column) -> Column:
         ok = F.col("status") == "ok"
-        return ok & F.exists(f, lambda x: ~x.rlike(V.BLANK)) if o.remove_empty_hashes else ok
+        return ok & F.exists(f, lambda x: ~V.is_blank(x)) if o.remove_empty_hashes else ok
 
     good = state.select("file", "csv_line", tokenizer.where(F.col("fields"), wanted).alias("fields"))
     cells = [V.convert(V.clean(F.get("fields", F.lit(i)), o), n, (types or {}).get(n), o).alias(n) for i, n in enumerate(names)]

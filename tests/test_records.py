@@ -24,17 +24,34 @@ def both(spark, texts, d, comment=None, stretch=100_000):
     return key(a), key(b)
 
 
-@pytest.mark.parametrize("escaping", ["double_quotes", "backslash"])
+@pytest.mark.parametrize("escaping", ["double_quotes", "backslash", "auto"])
+@pytest.mark.parametrize("boundary", ["standard", "legacy"])
 @pytest.mark.parametrize("stretch", [1, 3, 100_000])
-def test_joined_equals_stitched(spark, escaping, stretch):
+def test_joined_equals_stitched(spark, escaping, boundary, stretch):
     rng = random.Random(stretch)
-    alphabet = ['"', ",", "a", "\n", "\n", " ", "#", '""', '","', '"\n'] + (["\\"] if escaping == "backslash" else [])
+    alphabet = ['"', ",", "a", "\n", "\n", " ", "#", '""', '","', '"\n'] + (["\\", '\\"'] if escaping != "double_quotes" else [])
     texts = {f"f{k}": "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for k in range(60)}
     for comment in (None, r"\A#"):
-        a, b = both(spark, texts, Dialect(",", escaping=escaping), comment, stretch)
+        a, b = both(spark, texts, Dialect(",", escaping=escaping, boundary=boundary), comment, stretch)
         assert a == b
 
 
+def test_swallowed_files_are_counted_not_gathered(spark):
+    text = '"a\nb"\n1,2\n"open\n' + "x\n" * 50
+    found = records.joined(lines_of(spark, {"f": text}), Dialect(",", escaping="double_quotes"), None, 1, most=40).orderBy("csv_line").collect()
+    assert [(r["file_line"], r["n_lines"], r["status"], r["raw"]) for r in found] == [(1, 2, "ok", '"a\nb"'), (3, 1, "ok", "1,2"), (4, 52, "malformed", None)]
+
+
+def test_limit_cuts_only_the_files_that_it_meets(spark, tmp_path):
+    for i, text in enumerate(('k,v\n1,"a\nb"\n', 'k,v\n2,"' + "y\n" * 30 + '"\n3,z\n')):
+        (tmp_path / f"f{i}.csv").write_text(text)
+    r = CsvReader(spark, str(tmp_path), col_sep=",", field_size_limit=20, on_bad_row="collect")
+    got = [(x["k"], x.get("v")) for x in r.each()]
+    # the record ends where it grows too large; its other lines are rows, up to its closing quote, which opens a record
+    assert got[0] == ("1", "a\nb") and got[1:] and set(got[1:]) == {("y", None)}
+    assert sorted(x["error_class"] for x in r.errors.collect()) == ["FieldSizeLimitExceeded", "MalformedCSV"]
+
+
 def test_no_quotes_or_only_one(spark):
     for text in ("", "a\nb", '"', 'x\n"\ny', '"a\n"\n"b\n"'):
         a, b = both(spark, {"f": text}, Dialect(",", escaping="double_quotes"), None, 2)
