@@ -13,22 +13,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowsmith.errors import IncorrectOption, InvalidInputData
-from rowsmith.functions.tokenizer import java
 from rowsmith.options import WriteOptions
 
 
-def needs_quotes(o: WriteOptions) -> str:
-    """Pattern of what makes a field need quotes."""
-    return "|".join(java(x) for x in (o.col_sep, o.row_sep, o.quote_char))
+def needs_quotes(text: Column, o: WriteOptions) -> Column:
+    """Whether a field has what makes it need quotes."""
+    out = F.contains(text, F.lit(o.col_sep))
+    for x in (o.row_sep, o.quote_char):
+        out = out | F.contains(text, F.lit(x))
+    return out
 
 
-def quote(text: Column, o: WriteOptions, force: bool) -> Column:
+def never_quoted(df: DataFrame, name: str, o: WriteOptions) -> bool:
+    """Whether a column's values, as numbers and the like, hold none of what makes a field need quotes."""
+    if name not in df.columns or name in o.value_converters or "_all" in o.value_converters:
+        return False
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.NumericType | T.BooleanType | T.DateType):
+        return False
+    written = set("0123456789+-.eEInfityNaruels") | set(o.write_nil_value) | set(o.write_empty_value)
+    return not any(set(x) & written for x in (o.col_sep, o.row_sep, o.quote_char))
+
+
+def quote(text: Column, o: WriteOptions, force: bool, never: bool = False) -> Column:
     """The field as it is written: quoted where it must be, inner quotes doubled."""
     q = o.quote_char
     wrapped = F.concat(F.lit(q), F.replace(text, F.lit(q), F.lit(q + q)), F.lit(q))
     if force:
         return wrapped
-    return text if o.disable_auto_quoting else F.when(text.rlike(needs_quotes(o)), wrapped).otherwise(text)
+    return text if o.disable_auto_quoting or never else F.when(needs_quotes(text, o), wrapped).otherwise(text)
 
 
 def quote_text(text: str, o: WriteOptions, force: bool) -> str:
@@ -70,7 +83,7 @@ def value(df: DataFrame, name: str, o: WriteOptions) -> Column:
 def lines(df: DataFrame, **options: Any) -> DataFrame:
     """One column `value`: each row as a line, without header and separator."""
     o = WriteOptions.of(**options)
-    return df.select(F.concat_ws(o.col_sep, *[quote(value(df, c, o), o, o.force_quotes) for c in columns_of(df, o)]).alias("value"))
+    return df.select(F.concat_ws(o.col_sep, *[quote(value(df, c, o), o, o.force_quotes, never_quoted(df, c, o)) for c in columns_of(df, o)]).alias("value"))
 
 
 def flatten(items: Any) -> list[dict]:

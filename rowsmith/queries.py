@@ -20,13 +20,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
+    """A table over all cores where its file is one piece (a single row group) that one task would read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, df.columns[0]) if least < size < cores * (32 << 20) else df
+
+
 def query(sql: str | None):
     """Registers a query under its function's name, with its SQL."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(spark, lambda name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
