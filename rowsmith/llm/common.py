@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lists that take note of the tables that are written.
+_noting: list[list[DataFrame]] = []
+
+
+@contextmanager
+def noting(made: list[DataFrame]) -> Iterator[None]:
+    """Adds the tables that `materialize` writes meanwhile to a list, for `release` when they are no longer read."""
+    _noting.append(made)
+    try:
+        yield
+    finally:
+        _noting.remove(made)
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a table in the shared folder, which outlives any executor."""
     path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rowsmith_path = path
+    for made in _noting:
+        made.append(out)
     return out
 
 

@@ -85,3 +85,35 @@ def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, folder)
     ids = {r["doc_id"] for r in out.collect()}
     assert ids and not ids & junk and ids <= {r[0] for r in rows}
+
+
+def test_stages_leave_clashing_columns_alone(spark, corpus, tmp_path):
+    """Columns with the names that stages use inside, a map column, and rows that repeat."""
+    from pyspark.sql import functions as F
+
+    folder, rows, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = {
+        "n_tokens": F.lit(5), "keep": F.lit("k"), "threshold": F.lit(0.5), "_lang": F.lit("x"), "_copy": F.lit(7), "copies": F.lit(3), "_id": F.col("doc_id") + 1,
+        "component_id": F.lit(-1), "stays": F.lit("s"), "row": F.lit("r"), "place": F.lit(2), "size": F.lit(9), "m": F.create_map(F.lit("id"), F.col("doc_id")),
+    }
+    docs = docs.unionByName(docs.filter("doc_id < 20")).withColumns(extra)
+    want = docs.schema.simpleString()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.schema.simpleString() == want, name
+        assert docs.count() and not docs.filter(
+            "n_tokens <> 5 or keep <> 'k' or threshold <> 0.5 or _lang <> 'x' or _copy <> 7 or copies <> 3 or component_id <> -1 or stays <> 's'"
+            " or `row` <> 'r' or place <> 2 or size <> 9 or not _id <=> doc_id + 1 or not m['id'] <=> doc_id").count(), name
+    out = corpus_pipeline.token_ids(spark, docs, folder)
+    assert out.filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_stages_of_nothing(spark, corpus):
+    folder, _, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0, name
