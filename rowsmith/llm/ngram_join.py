@@ -1,14 +1,19 @@
 """Operator 3, n-gram Jaccard join with vertical partitioning.
 
 A document is its set of distinct word shingles, known by 64-bit hashes; equal sets are one node, named by a
-hash of the set. The global n-gram order puts rare shingles first (those found frequent come last, by count).
-
-Candidates: two sets with Jaccard similarity t or more share at least o = ceil(t / (1 + t) (|x| + |y|)) shingles,
-so one of the first |x| - o + 1 of x is among the first |y| - o + 1 of y. Prefixes of |x| - ceil(t|x|) + 1 cover
-every partner; they meet in buckets of their hashes with their places, and shingles of one node drop out there.
-Verification, by vertical partitioning: the order is cut into fragments (the frequent shingles are the last),
-each fragment of a pair counts its partial overlap separately, and the counts are summed per pair. Before that,
-parity bitmaps of SKETCH bits a shingle reject pairs whose symmetric difference is provably too large.
+64-bit hash of the set (sets are not compared by content; two different ones among n have one name with a chance of about
+n^2 / 2^65). The global n-gram order puts rare shingles first: those of the highest document frequencies come last, by
+frequency, and all others before them, by hash. Frequencies are counted over all documents, combined in tasks and then by
+buckets, for the first `bits` + 32 bits of the hashes; shingles that agree in these count together, which moves them in the
+order, alike for every document, and changes no result.
+
+The order is cut into fragments: ranges of the hashes, then the frequent shingles. Every set falls into its segments of
+them. Overlaps are counted fragment by fragment, each (pair, fragment) by itself, and the counts are summed per pair (`verify`).
+Which pairs are counted at all is settled before, by filters on the order that lose no link: two sets with Jaccard
+similarity t or more share at least o = ceil(t / (1 + t) (|x| + |y|)) shingles, so one of the first |x| - o + 1 of x is
+among the first |y| - o + 1 of y. Prefixes of |x| - ceil(t|x|) + 1 cover every partner; they meet in buckets of their hashes
+with their places, and shingles of one node drop out there. Parity bitmaps of SKETCH bits a shingle then reject pairs whose
+symmetric difference is provably too large. So candidates come from the prefixes of the segments, not from all of them.
 
 Groups of thousands of near copies would give all their pairs, so links are found in rounds: every node is first
 compared with the one pivot it shares most prefix shingles with, and what links is contracted; rounds repeat while
@@ -16,7 +21,8 @@ prefixes are contested between components. Then all pairs between different comp
 shingle pass through the bitmaps; each node's most promising pair is verified and contracted, and at last every
 pair that is still between components. So no link between components is lost, and no pair inside one is made.
 
-Statistics cover every document. The frequent shingles are at most FREQUENT, which bounds the broadcast; sets travel only for documents in candidate pairs, found through a Bloom filter of bounded size.
+The frequent shingles are at most FREQUENT, which bounds the broadcast; sets travel only for documents in candidate pairs,
+found through a Bloom filter of bounded size.
 
 Defined cases: a text with no word (null and empty texts too) has no shingle, links with nothing and is its own
 component; one of fewer words than `width` has its whole sequence as one shingle; rows with equal sets are linked;
@@ -49,7 +55,7 @@ from rowsmith.llm.common import (
 )
 
 WIDTH, PERCENT = 5, 75
-#: Shingles of at least LEAST documents come late in the order: of the most frequent ones, at most FREQUENT (16 bytes each).
+#: Of the shingles of at least LEAST documents, the most frequent ones, about FREQUENT at most (12 bytes each), come last in the order.
 LEAST, FREQUENT = 3, 1 << 20
 FRAGMENTS = 8
 #: Star rounds end when one links fewer than this share of the nodes, or after so many.
