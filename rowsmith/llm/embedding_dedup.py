@@ -1,10 +1,12 @@
 """Operator 10, embedding near-dedup by sorted projection passes.
 
 1. Identical vectors of a label become one representative with a multiplicity (salted, as in exact dedup).
-2. Each pass hashes every representative to 64 signs of random projections and orders the vectors of a label
-   lexicographically by them, over range partitions. Every vector is compared with its `window` followers in
-   that order, in double precision; the edges of partitions are compared in a second step. A task reduces the
-   pairs at or above the threshold to a spanning forest before it emits them.
+2. Each pass hashes every representative, less the mean direction of its label, to 64 signs of random projections, and
+   orders the vectors of a label lexicographically by them, over range partitions. A label has PASSES passes, or as many
+   more, up to MOST_PASSES, as its size and spread ask for to bring all but MISSES of the pairs at the threshold into a
+   window (vectors that lean one way are told apart by fewer of their signs). Every vector is compared with its `window`
+   followers in that order, in double precision; the edges of partitions are compared in a second step. A task reduces
+   the pairs at or above the threshold to a spanning forest before it emits them.
 3. The passes' forests are united into components.
 4. Links are counted inside each component exactly, so a dense group isn't limited by the window: a component of
    up to BLOCK vectors all against all; a larger one by cells, the rings of RING angles around the nearest of up to LEADERS of
@@ -35,6 +37,7 @@ from pyspark.sql import types as T
 from rowsmith.llm.common import connected_components, groups, local_forest, materialize, shuffle_partitions
 
 THRESHOLD, PASSES, WINDOW, BLOCK = 0.98, 12, 24, 1024
+MOST_PASSES, MISSES = 64, 0.01
 #: Leaders of a component of more than one block, and rings to the threshold's angle.
 LEADERS, RINGS = 32, 4
 #: By so much do angles have to be clear of the threshold before a pair of cells counts without a look.
@@ -70,8 +73,21 @@ def unit(raw: pa.Array, size: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _directions(passes: int, dim: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).normal(size=(dim, passes * 64))
+def _directions(p: int, dim: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim, p]).normal(size=(dim, 64))
+
+
+def passes_for(n: int, lean: float, threshold: float, passes: int, window: int) -> int:
+    """Passes for n vectors of one label whose mean direction has the square `lean`.
+
+    About log2(n / window) signs tell a vector's window from others; a pair at the threshold, seen from the mean, agrees in
+    all of them with a known chance.
+    """
+    cos = 1 - (1 - threshold) / max(1 - lean, 1e-6)
+    same = 1 - np.arccos(np.clip(cos, -1, 1)) / np.pi
+    hit = same ** max(np.log2(max(n, 1) / window), 0)
+    need = 1 if hit >= 1 - MISSES else np.ceil(np.log(MISSES) / np.log1p(-hit)) if hit > 0 else MOST_PASSES
+    return int(np.clip(need, passes, max(passes, MOST_PASSES)))
 
 
 def linked(v: np.ndarray, window: int, threshold: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +114,39 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 _FOUND = ["a", "b", "edge", "side", "label", "dim", "pass", "vec"]
 
 
+def mean_directions(vectors: DataFrame, size: int, parts: int, passes) -> DataFrame:
+    """(label, dim: bytes of a vector, mean: of the unit vectors, as 32-bit floats, passes: of n and the mean's square) of
+    (label, vec); one row a label and length."""
+    kinds = "label long, dim int, mean binary, n long"
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, raw = batch.column(0).to_numpy(), batch.column(1)
+            length = np.array([len(x) for x in raw.to_pylist()])
+            for dim in np.unique(length):
+                at = np.flatnonzero(length == dim)
+                at = at[np.argsort(label[at], kind="stable")]
+                first = np.flatnonzero(np.concatenate([[True], label[at][1:] != label[at][:-1]]))
+                total = np.add.reduceat(unit(raw.take(pa.array(at)), size), first, axis=0)
+                yield rows(label[at][first], dim, total, np.diff(np.append(first, len(at))))
+
+    def rows(label, dim: int, total: np.ndarray, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(label), pa.array(np.full(len(label), dim, np.int32)), pa.array([x.astype(np.float32).tobytes() for x in total], pa.binary()), pa.array(np.asarray(n, np.int64))],
+            names=["label", "dim", "mean", "n"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 2):
+            total = np.sum([np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("mean").to_pylist()], axis=0)
+            n = table.column("n").to_numpy().sum()
+            many = passes(int(n), float((total / n) @ (total / n)))
+            yield rows([table.column("label")[0].as_py()], table.column("dim")[0].as_py(), total[None] / n, [many])
+
+    # a row a label, length and batch: few of a label that holds many vectors
+    dealt = vectors.mapInArrow(sums, kinds).repartition(parts, "label", "dim").sortWithinPartitions("label", "dim")
+    return dealt.mapInArrow(mean, kinds).select("label", "dim", "mean", F.col("n").cast("int").alias("passes"))
+
+
 GROUP = ["component", "label", "dim"]
 
 
@@ -242,25 +291,30 @@ def near_duplicates(
         "emb-reps",
     )
 
+    means = materialize(spark, mean_directions(reps.select("label", "vec"), size, parts, lambda n, lean: passes_for(n, lean, threshold, passes, window)), "emb-means")
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(2)
             length = np.array([len(x) for x in raw.to_pylist()])
             for dim in np.unique(length):
                 part = batch.filter(pa.array(length == dim))
-                signs = unit(part.column(2), size) @ _directions(passes, dim // size, seed) >= 0
-                for p in range(passes):
-                    key = np.packbits(signs[:, p * 64 : p * 64 + 64], axis=1).view(">u8")[:, 0].astype(np.uint64)
-                    n = part.num_rows
+                centre = np.stack([np.frombuffer(x, np.float32) for x in part.column(3).to_pylist()])
+                seen, asked = unit(part.column(2), size) - centre, part.column(4).to_numpy()
+                for p in range(asked.max()):
+                    some = asked > p
+                    mine, of = (part, seen) if some.all() else (part.filter(pa.array(some)), seen[some])
+                    key = np.packbits(of @ _directions(p, dim // size, seed) >= 0, axis=1).view(">u8")[:, 0].astype(np.uint64)
+                    n = mine.num_rows
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, p, np.int32)), part.column(1), pa.array(np.full(n, dim, np.int32)),
-                         pa.array((key ^ np.uint64(1 << 63)).view(np.int64)), part.column(0), part.column(2)],
+                        [pa.array(np.full(n, p, np.int32)), mine.column(1), pa.array(np.full(n, dim, np.int32)),
+                         pa.array((key ^ np.uint64(1 << 63)).view(np.int64)), mine.column(0), mine.column(2)],
                         names=["pass", "label", "dim", "key", "id", "vec"],
                     )
 
     order = ["pass", "label", "dim", "key", "id"]
     sliced = (
-        reps.select("rep", "label", "vec").mapInArrow(project, "pass int, label long, dim int, key long, id long, vec binary")
+        reps.withColumn("dim", F.octet_length("vec")).join(means, ["label", "dim"]).select("rep", "label", "vec", "mean", "passes").mapInArrow(project, "pass int, label long, dim int, key long, id long, vec binary")
         .repartitionByRange(max(1, parts * passes // 4), *order).sortWithinPartitions(*order)
     )
 
