@@ -29,31 +29,54 @@ class Shape:
     facts: dict[str, dict] = field(default_factory=dict)
 
 
+#: Of a column: its values, how many are numbers, whole numbers, and numbers with more characters than a double's digits.
+FACTS = ("n", "num", "int", "long")
+#: What only long numbers, or exact decimals, need to be known of.
+DETAILS = ("sig", "left", "right", "exp")
+
+
 def survey(records: DataFrame, columns: dict[str, Column], options: ReadOptions) -> Shape:
-    """Widest good row, rows by status, and the facts that `types` needs of `columns` (of a row's `fields`), in one aggregate."""
+    """Widest good row, rows by status, and the facts of `columns` (of a row's `fields`), in one aggregate."""
     wanted = [n for n in columns if options.numeric(n)]
     slash = F.max((F.instr("raw", "\\") > 0).cast("int")).alias("b")
-    # the generator keeps the fields from being split once for each use of them
-    once = records.select("status", "raw", tokenizer.where(F.col("fields"), lambda f: F.lit(True)).alias("fields"))
     facts = [x for i, n in enumerate(wanted) for x in _facts(columns[n], f"c{i}")]
-    rows = [r.asDict() for r in once.groupBy("status").agg(F.max(F.size("fields")).alias("w"), F.count("*").alias("n"), slash, *facts).collect()]
+    rows = [r.asDict() for r in _once(records).groupBy("status").agg(F.max(F.size("fields")).alias("w"), F.count("*").alias("n"), slash, *facts).collect()]
     good = next((r for r in rows if r["status"] == "ok"), {})
     found = {name: {k: good.get(f"c{i}_{k}") or 0 for k in FACTS} for i, name in enumerate(wanted)}
-    return Shape(good.get("w") or 0, {r["status"]: r["n"] for r in rows}, any(r["b"] for r in rows), found)
+    shape = Shape(good.get("w") or 0, {r["status"]: r["n"] for r in rows}, any(r["b"] for r in rows), found)
+    more = [n for n in wanted if _unsettled(found[n], options)]
+    if more and "open" not in shape.statuses:  # else the records are framed and surveyed anew
+        told = _once(records).filter("status = 'ok'").agg(*[x for i, n in enumerate(more) for x in _details(columns[n], f"c{i}")]).first().asDict()
+        for i, n in enumerate(more):
+            found[n] |= {k: told[f"c{i}_{k}"] or 0 for k in DETAILS}
+    return shape
+
 
+def _once(records: DataFrame) -> DataFrame:
+    """Through a generator, which keeps the fields from being split once for each use of them."""
+    return records.select("status", "raw", tokenizer.where(F.col("fields"), lambda f: F.lit(True)).alias("fields"))
 
-FACTS = ("n", "num", "int", "sig", "left", "right", "exp")
+
+def _unsettled(fact: dict, options: ReadOptions) -> bool:
+    """Whether a numeric column's type depends on its values' digits."""
+    return bool(fact["n"]) and fact["num"] == fact["n"] and (fact["long"] > 0 or fact["int"] < fact["n"] and options.decimal_precision == "bigdecimal")
 
 
 def _facts(c: Column, key: str) -> list[Column]:
-    number, whole = V.is_number(c), V.is_whole(c)
+    number = V.is_number(c)
+    return [
+        F.count(c).alias(f"{key}_n"), F.count(F.when(number, 1)).alias(f"{key}_num"), F.count(F.when(number & V.is_whole(c), 1)).alias(f"{key}_int"),
+        F.count(F.when(number & (F.length(c) > V.DOUBLE_DIGITS), 1)).alias(f"{key}_long"),
+    ]
+
+
+def _details(c: Column, key: str) -> list[Column]:
     mantissa = F.regexp_replace(c, r"[eE].*\z", "")
     return [
-        F.count(c).alias(f"{key}_n"), F.count(F.when(number, 1)).alias(f"{key}_num"), F.count(F.when(whole, 1)).alias(f"{key}_int"),
-        F.max(F.when(number, V.significant(c))).alias(f"{key}_sig"),
-        F.max(F.when(number, F.length(F.regexp_replace(F.substring_index(mantissa, ".", 1), r"\A[+-]?0*", "")))).alias(f"{key}_left"),
-        F.max(F.when(number & mantissa.contains("."), F.length(F.substring_index(mantissa, ".", -1)))).alias(f"{key}_right"),
-        F.count(F.when(number & c.rlike("[eE]"), 1)).alias(f"{key}_exp"),
+        F.max(V.significant(c)).alias(f"{key}_sig"),
+        F.max(F.length(F.regexp_replace(F.substring_index(mantissa, ".", 1), r"\A[+-]?0*", ""))).alias(f"{key}_left"),
+        F.max(F.when(mantissa.contains("."), F.length(F.substring_index(mantissa, ".", -1)))).alias(f"{key}_right"),
+        F.count(F.when(c.rlike("[eE]"), 1)).alias(f"{key}_exp"),
     ]
 
 
@@ -62,9 +85,13 @@ def types(facts: dict[str, dict], columns: list[str], options: ReadOptions) -> t
     out = dict.fromkeys(columns, "string")
     lost: list[str] = []
     for name in (n for n in columns if n in facts):
-        n, num, whole, sig, left, right, exp = (facts[name][k] for k in FACTS)
+        n, num, whole = (facts[name][k] for k in FACTS[:3])
         if not n or num < n:
             continue
+        if "sig" not in facts[name]:
+            out[name] = "bigint" if whole == n else "double"
+            continue
+        sig, left, right, exp = (facts[name][k] for k in DETAILS)
         if whole == n:
             out[name] = "bigint" if left <= LONG_DIGITS else f"decimal({left},0)" if left <= MOST_DIGITS else "string"
         else:

@@ -72,8 +72,8 @@ def is_utf8(options: ReadOptions) -> bool:
     return options.file_encoding.split(":")[0].lower().replace("_", "-") in ("utf-8", "utf8")
 
 
-def read(spark: SparkSession, files: list[str], options: ReadOptions, row_sep: str) -> DataFrame:
-    """(file, file_line from 1, raw) of every physical line.
+def read(spark: SparkSession, files: list[str], options: ReadOptions, row_sep: str, made: list[str] | None = None) -> DataFrame:
+    """(file, file_line from 1, raw) of every physical line; `made` takes note of what is written for it.
 
     UTF-8 is split by Spark's text source wherever it likes; lines are numbered from the counts per file block and
     a line's place in its block. Other encodings, and texts to repair, are decoded a file at a time.
@@ -90,6 +90,8 @@ def read(spark: SparkSession, files: list[str], options: ReadOptions, row_sep: s
         # a row a file block, counted once: width, types and rows each read the lines again
         path = scratch(spark, "blocks")
         blocks.write.parquet(path)
+        if made is not None:
+            made.append(path)
         blocks = spark.read.schema(blocks.schema).parquet(path)
         numbered = lines.join(blocks, ["file", "block"]).withColumn("file_line", F.col("before") + F.col("id") - F.col("first") + 1)
         raw = F.when(F.col("file_line") == 1, F.regexp_replace("raw", "^\\x{FEFF}", "")).otherwise(F.col("raw"))

@@ -19,7 +19,7 @@ from rowsmith.operators import quarantine, records, sequence
 from rowsmith.options import DEFAULT_CHUNK, ReadOptions, log
 from rowsmith.plans import header, infer
 from rowsmith.sources import lines, sniff
-from rowsmith.sources.scratch import scratch
+from rowsmith.sources.scratch import drop, scratch
 
 FILE, LINE = "_file", "_line"
 #: What this thread's latest reader said: `last_warnings()`, `last_errors()`.
@@ -47,14 +47,17 @@ class CsvReader:
     """One input under one set of options. Opening it settles dialect and header; rows come as a DataFrame.
 
     Several files of a glob share the first one's dialect and header, and each has its own header line and preamble.
+    What is written to the shared folder on the way (a row a file block, records that span lines, a copy of a stream) is
+    there for as long as the rows are read; `close`, or leaving a `with` block, deletes it.
     """
 
     def __init__(self, spark: SparkSession, path: Any = None, text: str | None = None, **options: Any) -> None:
         self.spark, self.input = spark, path if text is None else text
+        self._made: list[str] = []
         self.options = ReadOptions.of(**options)
         self.warnings: list[dict] = list(self.options.warnings)
         if hasattr(path, "read"):  # an open stream, seekable or not
-            stream, path = path, scratch(spark, "input")
+            stream, path = path, self._scratch("input")
             lines.spool(spark, stream, path)
             self._check_mode(stream)
         self.errors: DataFrame | None = None
@@ -93,6 +96,22 @@ class CsvReader:
         if self.options.verbose != "quiet":
             log.warning(message)
 
+    def _scratch(self, name: str) -> str:
+        self._made.append(scratch(self.spark, name))
+        return self._made[-1]
+
+    def close(self) -> None:
+        """Deletes what this reader wrote; its rows can't be read any more then."""
+        for path in self._made:
+            drop(self.spark, path)
+        self._made.clear()
+
+    def __enter__(self) -> CsvReader:
+        return self
+
+    def __exit__(self, *error: Any) -> None:
+        self.close()
+
     def _check_mode(self, stream: Any) -> None:
         """A stream of text was decoded by whoever opened it, so the declared encoding doesn't apply; UTF-8 is expected."""
         said = getattr(stream, "encoding", None)
@@ -131,7 +150,7 @@ class CsvReader:
             n = self.preamble
             rows = [("", r.file_line, r.csv_line, r.n_lines, r.raw, r.fields, r.status) for r in frame(found[n:], self.dialect, comment, n + 1, n + 1, o.field_size_limit)]
             return self.spark.createDataFrame(rows, records.SCHEMA)
-        data = lines.read(self.spark, self.files, o, self.row_sep).filter(F.col("file_line") > self.preamble)
+        data = lines.read(self.spark, self.files, o, self.row_sep, self._made).filter(F.col("file_line") > self.preamble)
         alone = self._judged(records.single(data, self.dialect, o.comment_regexp))
         # one pass decides whether lines may be read independently, how wide the widest is, and of which types columns are
         self._shape = self._survey(alone)
@@ -141,7 +160,7 @@ class CsvReader:
         most = records.MOST_BYTES if self.file_size > records.MOST_BYTES else None
         framed = records.joined(data, self.dialect, o.comment_regexp, self.preamble + 1, most=most)
         # framing shuffles, and width, types and rows all need it: it is done once
-        path = scratch(self.spark, "records")
+        path = self._scratch("records")
         framed.write.parquet(path)
         found = self.spark.read.schema(records.SCHEMA).parquet(path)
         if o.field_size_limit is not None:

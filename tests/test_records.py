@@ -83,6 +83,18 @@ def test_streams_and_last_warnings(spark):
     assert re.search("quoted", rowsmith.last_errors().first()["error_message"])
 
 
+def test_closing_a_reader_deletes_what_it_wrote(spark, tmp_path):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    p = tmp_path / "m.csv"
+    p.write_text('k,v\n1,"a\nb"\n')
+    before = set(os.listdir(shared))
+    with CsvReader(spark, str(p)) as r:
+        assert list(r.each()) == [{"k": 1, "v": "a\nb"}] and set(os.listdir(shared)) > before
+    assert set(os.listdir(shared)) == before
+
+
 def test_diagnostics(spark):
     from rowsmith.functions import tokenizer
 
