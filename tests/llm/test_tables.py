@@ -177,3 +177,56 @@ def test_odd_vectors(spark):
     assert got == Counter((i, n, c, i == c) for (i, _, _), n, c in zip(rows, links, low, strict=True))
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
     assert embedding_dedup.near_duplicates(vectors(spark, [(1, None, 1)])).collect()[0]["n_links"] == 0
+
+
+def test_passes_follow_size_and_spread():
+    passes = lambda n, lean: embedding_dedup.passes_for(n, lean, 0.98, 12, 24)
+    assert passes(10, 0.0) == passes(20_000, 0.0) == 12
+    assert passes(10**6, 0.8) > passes(10**5, 0.8) > passes(10**5, 0.0) and passes(10**9, 0.999) == embedding_dedup.MOST_PASSES
+
+
+# --- helpers
+
+
+def test_most_frequent_rows_of_one_large_bin(spark):
+    """A bin that holds more than there is room for is cut by hash, not left out."""
+    from rowsmith.llm.common import from_most_frequent
+
+    counts = spark.createDataFrame([(i, 9 if i < 3 else 5) for i in range(2000)], "k long, n long")
+    got = {r["k"] for r in from_most_frequent(counts, "k", "n", 1000).collect()}
+    assert {0, 1, 2} <= got and 700 < len(got) <= 1000
+    assert from_most_frequent(counts, "k", "n", 5000).count() == 2000 and from_most_frequent(counts, "k", "n", 0).count() == 0
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from rowsmith.llm.common import running
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["b", "a", None, "c"]), i, rng.randint(0, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "s string, i long, v long")
+    got = [tuple(r) for r in running(df, [F.col("s").asc_nulls_last(), F.col("i")], {"before": F.col("v"), "place": F.lit(1)}, 7).collect()]
+    total, want = 0, []
+    for k, (s, i, v) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1]))):
+        want.append((s, i, v, total, k))
+        total += v
+    assert sorted(got, key=lambda r: r[4]) == want
+
+
+def test_hot_keys_are_cut_by_place(spark, monkeypatch):
+    """Sharding and mixing with rows of one id, or none, in parts: the same laws hold."""
+    from rowsmith.llm import common, mixing, sharding
+
+    monkeypatch.setattr(common.parts_of_hot, "__defaults__", ("position", 20))
+    rows = [(None, "same text", "s") for _ in range(300)] + [(7, f"text {i % 3}", "s") for i in range(200)] + [(i, f"word {i}", "t") for i in range(100, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sharding.shard(df).collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(got) == 600
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
+    mixed = mixing.mix(df).collect()
+    assert len(mixed) == 600 and all(r["taken"] <= 2 * r["size"] for r in mixed)
+    for source in "st":
+        mine = [r for r in mixed if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine)

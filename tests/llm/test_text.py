@@ -56,6 +56,15 @@ def test_words_and_hashes():
     assert len(set(by_word.values())) == len(by_word)
 
 
+def test_long_words_hash_by_parts_within_bounds():
+    long = "ab" * (K.PIECE // 2) + "c"
+    data, offsets = K.buffers(pa.array([f"x {long} y", long, long[:-1] + "d", "w " * 5 + long]))
+    h, at = K.words(data, offsets)
+    assert at.tolist() == [0, 0, 0, 1, 2] + [3] * 6
+    assert h[1] == h[3] == h[10] and h[4] != h[3] and len(set(h[5:10].tolist())) == 1
+    assert len(K._powers.up) <= 2 * K.PIECE + 1
+
+
 def test_slices_of_arrow_columns():
     a = pa.array(["xx", "a b", None, "c"])[1:]
     data, offsets = K.buffers(a)
