@@ -186,11 +186,9 @@ def test_lm_scores_by_brute_force(spark, table):
     cut = once / (once + 2 * twice) if once and twice else 0.5
     model, dim, slots = fitted.model, lm_scoring.DIM, lm_scoring.SLOTS
 
-    def share(w):
-        if w in own:
-            return 1.0
-        b = bucket(w)
-        return (count[w] - cut) / in_bucket[b] if count[w] else cut * kinds[b] / in_bucket[b] if in_bucket[b] else 1.0
+    left = cut * sum(kinds.values()) / sum(in_bucket.values())
+    first_rare = lm_scoring.CLASSES - lm_scoring.BUCKETS // slots
+    assert fitted.unknown == pytest.approx(left) and all((unit[w] // slots >= first_rare) == (w not in own) for w in hashes)
 
     def softmax(h, table):
         s = [float(x[:dim] @ h) + float(x[dim]) for x in table.astype(float)]
@@ -204,10 +202,12 @@ def test_lm_scores_by_brute_force(spark, table):
             h = sum(model.r[u, :dim].astype(float) @ model.c[k * dim : (k + 1) * dim, :dim] for k, u in enumerate(context))
             known[context] = h, softmax(h, model.qc), {}
         h, classes, inside = known[context]
+        if w not in own and not count[w]:  # the unknown token
+            return sum(classes[first_rare:]) * left
         k, at = divmod(unit[w], slots)
         if k not in inside:
             inside[k] = softmax(h, model.q[k * slots : (k + 1) * slots])
-        return classes[k] * inside[k][at] * share(w)
+        return classes[k] * inside[k][at] * (1.0 if w in own else (1 - left) * count[w] / in_bucket[bucket(w)])
 
     want = {}
     for (i, t, _), use in zip(rows, learn, strict=True):
@@ -220,11 +220,11 @@ def test_lm_scores_by_brute_force(spark, table):
     for r in got:
         found = want[r["doc_id"], r["learnt"], r["n_tokens"], r["n_known"], r["train_tokens"]]
         assert any(r["base_score"] == pytest.approx(x, rel=1e-6) and r["score"] == pytest.approx(y, rel=1e-4) for x, y in found)
-    # over all units, and inside a bucket with its unknown token, probabilities sum to one
+    # probabilities sum to one over all units; buckets go to their known tokens and the unknown one
     h, classes, _ = next(iter(known.values()))
     assert sum(c * x for k, c in enumerate(classes) for x in softmax(h, model.q[k * slots : (k + 1) * slots])) == pytest.approx(1)
     for b in list(in_bucket)[:5]:
-        assert sum(share(w) for w in count if w not in own and bucket(w) == b) + cut * kinds[b] / in_bucket[b] == pytest.approx(1)
+        assert sum((1 - left) * count[w] / in_bucket[b] for w in count if w not in own and bucket(w) == b) + left == pytest.approx(1)
 
 
 def test_lm_gradient_is_right():
