@@ -97,7 +97,7 @@ def test_loser_tree():
 
 
 def test_truncated_records_are_noticed():
-    raw = warc.record(1, "http://x", b"payload", None, False, "s")
+    raw = warc.record(1, "http://x", b"payload", None)
     assert warc.parse(raw)[2] == b"payload"
     with pytest.raises(ValueError):
         warc.parse(raw[:-9])
