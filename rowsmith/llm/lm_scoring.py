@@ -8,10 +8,10 @@ the units of one class, make both normalised. Of the probability of all buckets
 that discounting each known token in them would leave; of the rest of its bucket's, a known token has what its training
 count is of the bucket's. So probabilities sum to one over the V known tokens and one unknown token.
 
-Training goes over all training rows, in tasks: ROUNDS times every task starts from the same parameters and takes
-steps on those positions of its rows, one of SHARE, that a hash of place and token draws; nothing else is left out, and
-what training sees grows with the input. The noise of the estimation is taken in exact expectation over a
-class's units and over the classes. Then parameters are averaged row by row, weighted by how often a task met the row;
+Training goes over every position of all training rows, in tasks: ROUNDS times every task starts from the same
+parameters and takes steps on all positions of those of its rows that belong to the round. A hash of the text deals each
+row to exactly one round, so all are learnt from once, whatever their order, and none is left out. The noise of the
+estimation is taken in exact expectation over a class's units and over the classes. Then parameters are averaged row by row, weighted by how often a task met the row;
 a task sends 2 MB of them, whatever its input. Token counts cover all training rows (combined inside each task, then by hash).
 
 For scoring, the end and the `table` most frequent tokens are broadcast (28 bytes each, at most `table` of them whatever
@@ -43,8 +43,10 @@ UNITS = CLASSES * SLOTS
 #: Classes from here on are the buckets'.
 RARE = CLASSES - BUCKETS // SLOTS
 CONTEXT, DIM = 3, 32
-NOISE, RATE, BATCH = 8, 0.15, 2048
-ROUNDS, SHARE = 2, 12
+NOISE, RATE = 8, 0.15
+#: Positions a step; fewer where a task has little text, down to FEWEST, so that it still takes STEPS of them.
+BATCH, FEWEST, STEPS = 8192, 256, 16
+ROUNDS = 2
 TABLE = 1 << 18
 #: Distinct tokens are combined in groups of about so many tokens.
 GROUP = 4_000_000
@@ -95,6 +97,11 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def of_round(texts: DataFrame, turn: int) -> DataFrame:
+    """The rows that the turn-th round learns from: every row, equal texts together, belongs to one of the ROUNDS."""
+    return texts.filter(F.pmod(F.xxhash64(F.lit("round"), F.col(f"`{texts.columns[0]}`")), F.lit(ROUNDS)) == turn)
+
+
 def buckets_of(token: np.ndarray) -> np.ndarray:
     return (token & np.uint64(BUCKETS - 1)).astype(np.int64)
 
@@ -168,15 +175,16 @@ class Model:
         """ln p(unit | contexts) and ln p(any bucket | contexts), normalised; batches whose scores stay in the processor's cache."""
         out, rare = np.empty(len(unit), np.float64), np.empty(len(unit), np.float64)
         for lo in range(0, len(unit), batch):
-            u = unit[lo : lo + batch]
-            h = projected[0].take(contexts[0, lo : lo + batch], axis=0)
+            order, runs = _by_class(unit[lo : lo + batch])
+            order += lo
+            h = projected[0].take(contexts[0, order], axis=0)
             for k in range(1, CONTEXT):
-                h += projected[k].take(contexts[k, lo : lo + batch], axis=0)
-            cls, inside = np.divmod(u, SLOTS)
-            total, rare[lo : lo + batch] = _log_softmax(h @ self.qc.T, cls, RARE)
-            for k, rows in _by_class(cls):
-                total[rows] += _log_softmax(h.take(rows, axis=0) @ self.q[k * SLOTS : (k + 1) * SLOTS].T, inside[rows])[0]
-            out[lo : lo + batch] = total
+                h += projected[k].take(contexts[k, order], axis=0)
+            cls, inside = np.divmod(unit[order], SLOTS)
+            total, rare[order] = _log_softmax(h @ self.qc.T, cls, RARE)
+            for k, rows in runs:
+                total[rows] += _log_softmax(h[rows] @ self.q[k * SLOTS : (k + 1) * SLOTS].T, inside[rows])[0]
+            out[order] = total
         return out, rare
 
 
@@ -192,11 +200,12 @@ def _log_softmax(scores: np.ndarray, at: np.ndarray, tail: int | None = None) ->
     return mine - total, None if tail is None else np.log(np.maximum(scores[:, tail:].sum(1), np.finfo(np.float32).tiny)) - total
 
 
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        yield k, order[cuts[k] : cuts[k + 1]]
+def _by_class(unit: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of some units by their classes, and each class's place in it."""
+    cls = unit // SLOTS
+    order = np.argsort(cls.astype(np.int16), kind="stable")  # short integers are sorted by their digits
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))]).tolist()
+    return order, [(k, slice(cuts[k], cuts[k + 1])) for k in range(CLASSES) if cuts[k] < cuts[k + 1]]
 
 
 def nce_gradient(scores: np.ndarray, target: np.ndarray, noise: np.ndarray) -> np.ndarray:
@@ -206,17 +215,17 @@ def nce_gradient(scores: np.ndarray, target: np.ndarray, noise: np.ndarray) -> n
         s = np.log(noise) - scores
         np.exp(s, out=s)
         s += 1
-        np.reciprocal(s, out=s)
-    mine = 1 - s[rows, target]
-    s *= -noise
-    s[rows, target] += mine
+        np.divide(-noise, s, out=s)
+    mine = s[rows, target]
+    s[rows, target] += 1 + mine / noise[target]
     return s
 
 
 def steps(model: Model, squares: dict[str, np.ndarray], contexts: np.ndarray, unit: np.ndarray, rng: np.random.Generator) -> None:
-    """One pass of Adagrad, in place, over positions in shuffled batches; a step size a row of parameters."""
+    """One pass of Adagrad, in place, over positions (contexts: a row each) in shuffled batches; a step size a row of parameters."""
     order = rng.permutation(len(unit))
-    c = [x[:, :DIM] for x in np.split(model.c, CONTEXT)]  # views
+    batch = min(max(len(unit) // STEPS, FEWEST), BATCH)
+    c, r = model.c[:, :DIM].copy(), model.r[:, :DIM].copy()  # without the place of a bias
     noise, inside_noise = (NOISE * model.classes).astype(np.float32), NOISE * model.inside
 
     def climb(table: np.ndarray, square: np.ndarray, grad: np.ndarray) -> None:
@@ -224,38 +233,39 @@ def steps(model: Model, squares: dict[str, np.ndarray], contexts: np.ndarray, un
         grad *= (RATE / np.sqrt(square))[:, None]
         table += grad
 
-    for lo in range(0, len(order), BATCH):
-        i = order[lo : lo + BATCH]
-        ctx, u = contexts[:, i], unit[i]
-        r = [model.r[x, :DIM] for x in ctx]
+    for lo in range(0, len(order), batch):
+        i = order[lo : lo + batch]
+        at, runs = _by_class(unit[i])
+        i = i[at]
+        ids, u = contexts.take(i, axis=0).ravel(), unit[i]
+        x = r.take(ids, axis=0).reshape(len(u), CONTEXT * DIM)
         h = np.ones((len(u), DIM + 1), np.float32)  # a last place for the bias
-        h[:, :DIM] = sum(x @ m for x, m in zip(r, c, strict=True))
+        h[:, :DIM] = x @ c
         cls, inside = np.divmod(u, SLOTS)
         g = nce_gradient(h @ model.qc.T, cls, noise)
         dh, dqc = g @ model.qc, g.T @ h
-        for k, rows in _by_class(cls):
+        for k, rows in runs:
             own = slice(k * SLOTS, (k + 1) * SLOTS)
-            q, mine = model.q[own], h.take(rows, axis=0)
+            q, mine = model.q[own], h[rows]
             g = nce_gradient(mine @ q.T, inside[rows], inside_noise[k])
             dh[rows] += g @ q
             climb(q, squares["q"][own], g.T @ mine)
         climb(model.qc, squares["qc"], dqc)
         dh = np.ascontiguousarray(dh[:, :DIM])
-        back = np.concatenate([dh @ m.T for m in c])
-        dc = np.concatenate([x.T @ dh for x in r])
+        back, dc = (dh @ c.T).reshape(-1, DIM), x.T @ dh
         squares["c"] += np.einsum("ij,ij->i", dc, dc) / DIM
-        model.c[:, :DIM] += 0.1 * RATE * dc / np.sqrt(squares["c"])[:, None]
-        ids = ctx.ravel()
+        c += 0.1 * RATE * dc / np.sqrt(squares["c"])[:, None]
         o = np.argsort(ids, kind="stable")
         ids = ids[o]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         at, grad = ids[first], np.add.reduceat(back.take(o, axis=0), first, axis=0)
         squares["r"][at] += np.einsum("ij,ij->i", grad, grad) / DIM
-        model.r[at, :DIM] += RATE * grad / np.sqrt(squares["r"][at])[:, None]
+        r[at] += RATE * grad / np.sqrt(squares["r"][at])[:, None]
+    model.c[:, :DIM], model.r[:, :DIM] = c, r
 
 
-def trained(texts: DataFrame, units: Units, model: Model, draw: int, partitions: int) -> Model:
-    """The model after one round over one text column."""
+def trained(texts: DataFrame, units: Units, model: Model, turn: int, partitions: int) -> Model:
+    """The model after one round, the turn-th, over one text column."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast((units, model))
 
@@ -264,11 +274,11 @@ def trained(texts: DataFrame, units: Units, model: Model, draw: int, partitions:
         model = start.with_rows(start.rows())
         squares = {k: np.full(len(getattr(model, k)), 0.1, np.float32) for k in ("r", "q", "qc", "c")}
         met, asked, n = np.zeros(UNITS), np.zeros(CLASSES), 0
-        rng, held, size = np.random.default_rng(draw), [], 0
+        rng, held, size = np.random.default_rng(turn), [], 0
 
         def climb() -> None:
             nonlocal n
-            contexts, unit = np.concatenate([c for c, _ in held], 1), np.concatenate([u for _, u in held])
+            contexts, unit = np.concatenate([c for c, _ in held]), np.concatenate([u for _, u in held])
             met[:] += np.bincount(contexts.ravel(), minlength=UNITS)
             asked[:] += np.bincount(unit // SLOTS, minlength=CLASSES)
             n += len(unit)
@@ -277,11 +287,8 @@ def trained(texts: DataFrame, units: Units, model: Model, draw: int, partitions:
         for _, _, _, data, offsets in _texts(batches, 0):
             token, text = tokens(data, offsets)
             unit = units.of(token)
-            place = np.arange(len(token)) - np.searchsorted(text, text)
-            with np.errstate(over="ignore"):
-                drawn = K.mix(token + place.astype(np.uint64) * K.BASE) % np.uint64(SHARE) == draw
-            held.append((units.contexts(unit, text)[:, drawn], unit[drawn]))
-            size += int(drawn.sum())
+            held.append((units.contexts(unit, text).T.astype(np.int16, order="C"), unit))  # sorted by their digits later
+            size += len(unit)
             if size >= GATHERED:
                 climb()
                 held, size = [], 0
@@ -310,7 +317,7 @@ def trained(texts: DataFrame, units: Units, model: Model, draw: int, partitions:
             names=["chunk", "rows", "weight"])
 
     schema = "chunk int, rows binary, weight binary"
-    found = texts.mapInArrow(run, schema).repartition(partitions, "chunk").mapInArrow(mean, schema).toArrow()  # one row a chunk of the model
+    found = of_round(texts, turn).mapInArrow(run, schema).repartition(partitions, "chunk").mapInArrow(mean, schema).toArrow()  # one row a chunk of the model
     rows = model.rows().astype(np.float64)
     for at, x, w in zip(*(c.to_pylist() for c in found.columns), strict=True):
         w = np.frombuffer(w, np.float64)
@@ -368,8 +375,8 @@ def fit(texts: DataFrame, table: int = TABLE, words: int = UNITS - BUCKETS) -> F
     units = Units(names[o], place[o], bucket, int(place[0]))
     model = Model(prior)
     if len(keys):
-        for draw in range(ROUNDS):
-            model = trained(texts, units, model, draw, shuffle_partitions(spark))
+        for turn in range(ROUNDS):
+            model = trained(texts, units, model, turn, shuffle_partitions(spark))
     ones, twos = int(n1.sum()), int(n2.sum())
     cut = ones / (ones + 2 * twos) if ones and twos else 0.5
     unknown = cut * bucket_v.sum() / bucket_n.sum() if bucket_n.sum() else 1.0

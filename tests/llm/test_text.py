@@ -251,6 +251,22 @@ def test_lm_learns_contexts(spark):
     assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_lm_learns_from_every_position(spark):
+    """Each pair stands in texts of its own, always at one place: none of them is passed over."""
+    pairs = [(f"x{i}", f"y{i}") for i in range(40)]
+    df = docs(spark, [(k, " ".join(pairs[k % 40]) + f" z{k}", "en") for k in range(6_000)] + [(None, None, "en")] * 2).repartition(2)
+    units, model = (f := lm_scoring.fit(df.select("text"))).units, f.model
+    unit = lambda words: units.of(K.words(*K.buffers(pa.array(words)))[0])
+    x, y = (unit([p[k] for p in pairs]) for k in range(2))
+    end, projected = np.full(len(x), units.end), model.projected()
+    logp = lambda first, second: model.log_probability(projected, np.stack([first, end, end]), second)[0]
+    others = np.mean([logp(np.roll(x, k), y) for k in range(1, len(x))], axis=0)
+    assert (logp(x, y) > others + 1).all()  # y follows its own x more often than any other
+    # and once: the rounds share all rows out
+    rows = [[r["doc_id"] for r in lm_scoring.of_round(df.select("text", "doc_id"), turn).collect()] for turn in range(lm_scoring.ROUNDS)]
+    assert Counter(sum(rows, [])) == Counter([*range(6_000), None, None]) and min(map(len, rows)) > 2_000
+
+
 def test_lm_of_nothing(spark):
     assert lm_scores(docs(spark, []), F.lit(True)).count() == 0
     (r,) = lm_scores(docs(spark, [(1, "a b", "en")]), F.lit(False)).collect()
