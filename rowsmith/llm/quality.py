@@ -1,7 +1,8 @@
 """Operator 5, quality classifier: interpolated modified Kneser-Ney perplexity against language quantiles.
 
-A trigram model is fitted on trusted text (labelled quality 1), about `per_lang` documents a language: a documented
-bound on the labelled sample. Its n-grams are counted as a table (combined in tasks, then by hash), and the model is
+A trigram model is fitted on trusted text (labelled quality 1). A hash of its id puts each trusted document on one of
+two sides: three quarters of them are what the model counts, all of them, and the last quarter is what the limits come
+from, all of it. The n-grams are counted as a table (combined in tasks, then by hash), and the model is
 tables made of it by aggregations and joins; none of them is ever collected.
 
 Written with back-off weights, the interpolation is a sum: ln p(w | u v) is ln p(w) + ln g(v) + ln g(u v), where g is what
@@ -16,7 +17,7 @@ Words keep their case and punctuation; a word that trusted text lacks gets the u
 symbol noise, shouting and markup debris are surprising.
 
 A language's limit is the `quantile` of its trusted documents' surprise (mean negative log-probability less `z`
-standard errors), taken outside the fitted sample, over about a quarter of them or more. A document's threshold is the
+standard errors), taken over the quarter of them that the model has not counted. A document's threshold is the
 perplexity which has that surprise at its length, and it is rejected above it: a short one only if its perplexity
 is beyond what few words can show. Fewer than `enough` of them don't show the quantile: then it is the upper
 prediction limit that their median and the spread above it allow for one more document (Student's t), which grows as
@@ -43,7 +44,6 @@ from pyspark.sql import types as T
 from rowsmith.llm import textkernel as K
 from rowsmith.llm.common import bloom, from_most_frequent, halves, hashed_keys, in_bloom, materialize, release, trim
 
-PER_LANG = 600
 QUANTILE, Z, ENOUGH = 0.995, 3.0, 40
 TABLE = 1 << 19
 #: N-grams are combined in groups of about so many before they are counted by hash.
@@ -133,7 +133,7 @@ def _cut(table: DataFrame, n: str) -> Column:
 @dataclass
 class KneserNey:
     """values: (key, value, times) of every n-gram; floor: probability of an unknown word; spread: standard deviation
-    of -ln p over the tokens of the sample."""
+    of -ln p over the tokens that it counts."""
 
     values: DataFrame
     floor: float
@@ -189,24 +189,19 @@ def estimate(counts: DataFrame) -> KneserNey | None:
     return KneserNey(values, floor, math.sqrt(max(square - mean * mean, 0.0)))
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str, lang_col: str, per_lang: int) -> DataFrame:
-    """(_id) of about per_lang trusted documents of each language: the share of their ids' hashes that gives so many."""
+def trusted_counted(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """(_id) of the trusted documents that the model counts: all but the quarter that the thresholds come from."""
     trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("\0")).alias("_lang")).join(trusted, "_id")
-    known = known.groupBy("_id").agg(F.min("_lang").alias("_lang")).withColumn("_h", F.xxhash64(F.lit("trusted"), "_id"))
-    known = known.filter(F.pmod("_h", F.lit(4)) != 0)  # a quarter always stays for the thresholds
-    known = materialize(docs.sparkSession, known, "quality-known")
-    share = known.groupBy("_lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("_share"))
-    draw = F.pmod(F.shiftright("_h", 8), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return known.join(share, "_lang").filter(draw < F.col("_share")).select("_id")
+    known = docs.select(F.col(f"`{id_col}`").alias("_id")).join(trusted, "_id").distinct()
+    return known.filter(F.pmod(F.xxhash64(F.lit("trusted"), "_id"), F.lit(4)) != 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> tuple[KneserNey | None, DataFrame]:
-    """(model or None, the sample's ids)."""
-    sample = materialize(docs.sparkSession, trusted_sample(docs, labels, id_col, lang_col, per_lang), "quality-sample")
-    # the ids are as few as the sample's documents, so Spark broadcasts them, by their size
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(sample, "_id")
-    return estimate(trigram_counts(texts.select("text"))), sample
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[KneserNey | None, DataFrame]:
+    """(model or None, ids of the documents that it counts); one model for all languages, so lang_col is not read."""
+    counted = materialize(docs.sparkSession, trusted_counted(docs, labels, id_col), "quality-counted")
+    # Spark broadcasts the ids where they are few, by their size
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(counted, "_id")
+    return estimate(trigram_counts(texts.select("text"))), counted
 
 
 def score(docs: DataFrame, model: KneserNey | None, carried: list[str], text_col: str = "text", table: int = TABLE) -> tuple[DataFrame, DataFrame]:
@@ -285,7 +280,7 @@ def student(quantile: float, df: int) -> float:
 def upper_limit(values: list[float], quantile: float) -> float:
     """Where one more value lies above with a chance of about 1 - quantile, from few different ones.
 
-    The spread is that of the values above the median: those far below it (near copies of the sample) don't count.
+    The spread is that of the values above the median: those far below it (near copies of what the model counted) don't count.
     """
     x = np.unique(values)
     if len(x) < 2:
@@ -294,9 +289,9 @@ def upper_limit(values: list[float], quantile: float) -> float:
     return float(max(x[-1], np.median(x) + student(quantile, len(over)) * np.sqrt((over**2).mean() * (1 + 1 / len(x)))))
 
 
-def limits(scored: DataFrame, labels: DataFrame, sample: DataFrame, quantile: float = QUANTILE, enough: int = ENOUGH) -> DataFrame:
+def limits(scored: DataFrame, labels: DataFrame, counted: DataFrame, quantile: float = QUANTILE, enough: int = ENOUGH) -> DataFrame:
     """(_lang, limit) of every language of `scored` (_id, _lang, surprise)."""
-    trusted = labels.filter("quality = 1").select(F.col("doc_id").alias("_id")).distinct().join(sample, "_id", "left_anti").withColumn("_held", F.lit(True))
+    trusted = labels.filter("quality = 1").select(F.col("doc_id").alias("_id")).distinct().join(counted, "_id", "left_anti").withColumn("_held", F.lit(True))
     rows = scored.join(trusted, "_id", "left")
     held = F.when(F.col("_held"), F.col("surprise"))
     per = rows.groupBy("_lang").agg(F.count("_held").alias("n"), F.percentile_approx(held, quantile, 10_000).alias("held"))
@@ -311,11 +306,11 @@ def limits(scored: DataFrame, labels: DataFrame, sample: DataFrame, quantile: fl
 
 def judge(
     docs: DataFrame, labels: DataFrame, carried: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_lang: int = PER_LANG, quantile: float = QUANTILE, z: float = Z, table: int = TABLE, only: Column | None = None,
+    quantile: float = QUANTILE, z: float = Z, table: int = TABLE, only: Column | None = None,
 ) -> DataFrame:
     """(row: struct of the carried columns, n_tokens, perplexity, surprise, threshold, keep), where `only` holds."""
     spark = docs.sparkSession
-    model, sample = fit(docs, labels, id_col, text_col, lang_col, per_lang)
+    model, counted = fit(docs, labels, id_col, text_col, lang_col)
     trim()
     rows, means = score(docs, model, carried, text_col, table)
     # the end alone says nothing about a text
@@ -324,7 +319,7 @@ def judge(
     of = F.col("row").getField
     scored = rows.select("place", of(id_col).alias("_id"), of(lang_col).alias("_lang")).join(means, "place").withColumn("surprise", surprise)
     # one row a language: read back small enough that Spark itself broadcasts it, by its size
-    cut = materialize(spark, limits(scored.select("_id", "_lang", "surprise"), labels, sample, quantile).withColumnRenamed("_lang", "_of"), "quality-limits")
+    cut = materialize(spark, limits(scored.select("_id", "_lang", "surprise"), labels, counted, quantile).withColumnRenamed("_lang", "_of"), "quality-limits")
     threshold = F.when(F.col("n_tokens") > 1, F.exp(F.col("limit") + error)).otherwise(F.lit(float("inf")))
     judged = scored.join(cut, F.col("_lang").eqNullSafe(F.col("_of"))).select(
         "place", "n_tokens", F.exp("mean").alias("perplexity"), "surprise", threshold.alias("threshold"))

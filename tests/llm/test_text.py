@@ -404,6 +404,17 @@ def test_quality_sample_has_every_language(spark):
     assert {r["_id"] // 100 for r in sample.collect()} == set(range(20))
 
 
+def test_quality_counts_every_trusted_text(spark):
+    """Trusted documents are counted by the model or set the limits, however many a language has."""
+    rows = [(i, f"w{i % 7} x{i}", "en" if i % 10 else "de") for i in range(2_400)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows] * 2, "doc_id long, quality int, toxic int")
+    model, counted = quality.fit(docs(spark, rows), labels, "doc_id", "text", "lang")
+    ids = [r["_id"] for r in counted.collect()]
+    assert len(ids) == len(set(ids)) and 0.7 * len(rows) < len(ids) < 0.8 * len(rows)
+    # every one of their words, which occur once each, is in the model
+    assert model.values.filter("times = 1").count() >= 3 * len(ids)
+
+
 def test_limits_from_few_values():
     assert quality.student(0.995, 1) == pytest.approx(63.657, rel=2e-3)
     assert quality.student(0.995, 29) == pytest.approx(2.7564, rel=1e-3)
