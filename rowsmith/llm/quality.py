@@ -31,6 +31,7 @@ with the names of its outputs.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -140,14 +141,27 @@ class KneserNey:
     spread: float
 
 
+def sweep(spark: SparkSession) -> None:
+    """Shuffles of what is done go: Spark deletes them when both driver processes have collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """`materialize`, and then the shuffles behind it go."""
+    out = materialize(spark, df, name)
+    sweep(spark)
+    return out
+
+
 def estimate(counts: DataFrame) -> KneserNey | None:
     """The model of a table of trigram counts; None if there are none."""
     spark = counts.sparkSession
-    tri = materialize(spark, counts, "kn-trigrams")
+    tri = written(spark, counts, "kn-trigrams")
     # lower orders count how many different words an n-gram follows
     bi = materialize(
         spark, tri.groupBy("two").agg(F.count("*").alias("n"), F.sum("n").alias("times"), F.first("one").alias("one"), F.first("prior").alias("prior")), "kn-bigrams")
-    uni = materialize(spark, bi.groupBy("one").agg(F.count("*").alias("n"), F.sum("times").alias("times")), "kn-unigrams")
+    uni = written(spark, bi.groupBy("one").agg(F.count("*").alias("n"), F.sum("times").alias("times")), "kn-unigrams")
     if uni.isEmpty():
         return None
     cut1, cut2, cut3 = _cut(uni, "n"), _cut(bi, "n"), _cut(tri, "n")
@@ -156,19 +170,21 @@ def estimate(counts: DataFrame) -> KneserNey | None:
 
     left = lambda table, context, cut, key: table.groupBy(F.col(context).alias(key)).agg(
         F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("gamma"))
-    one_left = materialize(spark, left(bi, "prior", cut2, "prior"), "kn-left")
-    two_left = materialize(spark, left(tri, "before", cut3, "before"), "kn-left")
+    one_left = written(spark, left(bi, "prior", cut2, "prior"), "kn-left")
+    two_left = written(spark, left(tri, "before", cut3, "before"), "kn-left")
     p1 = uni.select("one", "times", ((F.col("n") - cut1) / F.lit(float(total)) + F.lit(floor)).alias("p1"))
     p2 = (
         bi.withColumn("own", F.col("n") - cut2).join(one_left, "prior").join(p1.drop("times"), "one")
         .select("two", "times", (F.col("own") / F.col("total") + F.col("gamma") * F.col("p1")).alias("p2"), (F.col("gamma") * F.col("p1")).alias("lower"))
     )
-    p2 = materialize(spark, p2, "kn-p2")
+    p2 = written(spark, p2, "kn-p2")
+    release(bi)
     p3 = (
         tri.withColumn("own", F.col("n") - cut3).join(two_left, "before").join(p2.select("two", "p2"), "two")
         .select("three", "n", (F.col("own") / F.col("total") + F.col("gamma") * F.col("p2")).alias("p3"), (F.col("gamma") * F.col("p2")).alias("lower"))
     )
-    p3 = materialize(spark, p3, "kn-p3")
+    p3 = written(spark, p3, "kn-p3")
+    release(tri)
 
     def both(table: DataFrame, key: str, gain: Column, context: DataFrame, ckey: str) -> DataFrame:
         """An n-gram's gain as a prediction and its weight as a context, in one row."""
@@ -182,10 +198,10 @@ def estimate(counts: DataFrame) -> KneserNey | None:
         .unionByName(both(p2, "two", F.log(F.col("p2") / F.col("lower")), two_left, "before"))
         .unionByName(p3.select(F.col("three").alias("key"), F.log(F.col("p3") / F.col("lower")).alias("value"), F.col("n").alias("times")))
     )
-    values = materialize(spark, values, "kn-values")
+    values = written(spark, values, "kn-values")
     s = F.log("p3")
     n, mean, square = p3.agg(F.sum("n"), F.sum(F.col("n") * s) / F.sum("n"), F.sum(F.col("n") * s * s) / F.sum("n")).first()
-    release(tri, bi, uni, one_left, two_left, p2, p3)
+    release(uni, one_left, two_left, p2, p3)
     return KneserNey(values, floor, math.sqrt(max(square - mean * mean, 0.0)))
 
 
@@ -218,6 +234,7 @@ def score(docs: DataFrame, model: KneserNey | None, carried: list[str], text_col
     key, value = hot.column("key").to_numpy().view(np.uint64), hot.column("value").to_numpy()
     order = np.argsort(key)
     sent = spark.sparkContext.broadcast((key[order], value[order], bloom(model.values.select(*hashed_keys(F.col("key"))))))
+    sweep(spark)
     floor = math.log(model.floor)
     schema = T.StructType([
         T.StructField("place", T.LongType()), T.StructField("row", source.schema["row"].dataType), T.StructField("n_tokens", T.LongType()),
@@ -258,13 +275,13 @@ def score(docs: DataFrame, model: KneserNey | None, carried: list[str], text_col
                         [pa.array(places[at[new]]), pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.array(key[new].view(np.int64)),
                          pa.array(np.diff(np.append(new, len(key))).astype(np.int32))], names=schema.fieldNames())
 
-    parts = materialize(spark, source.mapInArrow(run, schema), "kn-parts")
+    parts = written(spark, source.mapInArrow(run, schema), "kn-parts")
     met = parts.filter("key is not null").select("place", "key", "times").join(model.values.select("key", "value"), "key")
     more = met.groupBy("place").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
     rows = parts.filter("key is null")
     mean = -(F.col("total") + F.coalesce("more", F.lit(0.0))) / F.col("n_tokens")
     means = rows.select("place", "n_tokens", "total").join(more, "place", "left").select("place", "n_tokens", mean.alias("mean"))
-    means = materialize(spark, means, "kn-means")
+    means = written(spark, means, "kn-means")
     sent.destroy()
     return rows.select("place", "row"), means
 
