@@ -5,13 +5,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rowsmith.llm import bpe, lm_scoring, ngram_join, quality, toxicity
+from rowsmith.llm import bpe, common, lm_scoring, ngram_join, quality, toxicity
 from rowsmith.llm import textkernel as K
 from rowsmith.llm.common import crc_mod
 
@@ -415,6 +416,41 @@ def test_quality_counts_every_trusted_text(spark):
     assert model.values.filter("times = 1").count() >= 3 * len(ids)
 
 
+def test_quality_model_is_small(spark):
+    """A trigram with all that is below it takes few bytes, in the tables that are left and in those on the way."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 5_000), "en") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    made = []
+    with common.noting(made):
+        model, _ = quality.fit(docs(spark, rows), labels, "doc_id", "text", "lang")
+    left = [p for t in made for p in Path(t._rowsmith_path.removeprefix("file:")).rglob("*.parquet")]
+    trigrams = model.values.count()
+    assert trigrams > 50_000 and sum(p.stat().st_size for p in left) < 12 * trigrams
+
+
+def test_words_and_shards_round_trip():
+    """Blocks of words come back as they went, with and without a table of frequent words."""
+    rng = np.random.default_rng(5)
+    u, v, w = rng.integers(0, 1 << 64, (3, 500), np.uint64)
+    v[:250] = v[0]
+    words, places = quality.numbered(u, v, w)
+    assert all((words[x] == y).all() for x, y in zip(places, (u, v, w), strict=True))
+    for hot in (quality.NONE, words[::3], words):
+        found = [quality.opened(data, hot) for _, data in quality.spread_out(words, *places, [np.arange(500)], 7, hot)]
+        back = {int(n): (a[0][x], a[0][y], a[0][z]) for a in found for x, y, z, n in zip(*a[1:], strict=True)}
+        assert back == {i: (u[i], v[i], w[i]) for i in range(500)}
+
+
+def test_equal_texts_share_a_score(spark):
+    rows = [(i, "ba na ba ti", "en") for i in range(5)] + [(9, "ba na", "en"), (10, None, "en"), (11, "", "en")]
+    model = quality.estimate(quality.trigram_counts(spark.createDataFrame([("ba na ba ti",), ("ba ti na",)], "text string")))
+    out, means = quality.score(docs(spark, rows), model, ["doc_id"])
+    assert out.count() == len(rows) and means.count() == 3
+    alone = quality.score(docs(spark, rows[:1]), model, ["doc_id"])[1].first()["mean"]
+    assert [r["mean"] for r in means.collect() if r["n_tokens"] == 5] == [pytest.approx(alone, rel=1e-12)]
+
+
 def test_limits_from_few_values():
     assert quality.student(0.995, 1) == pytest.approx(63.657, rel=2e-3)
     assert quality.student(0.995, 29) == pytest.approx(2.7564, rel=1e-3)
