@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.llm import bpe, common, lm_scoring, ngram_join, quality, toxicity
@@ -451,6 +452,43 @@ def test_equal_texts_share_a_score(spark):
     assert [r["mean"] for r in means.collect() if r["n_tokens"] == 5] == [pytest.approx(alone, rel=1e-12)]
 
 
+def answers(df):
+    """The rows that the last mapInArrow of a plan makes."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    return DataFrame(df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(df.sparkSession._jsparkSession, plan), df.sparkSession)
+
+
+def test_sums_do_not_grow_with_the_shards(spark, monkeypatch):
+    """A document gets as many sums from a model of many shards, and the same ones, in one block or in several."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = [(i, prose(rng, 300, vocab)) for i in range(24)] + [(99, "zz yy")]
+    df = spark.createDataFrame(texts, "place long, text string").repartition(4)
+    monkeypatch.setattr(quality, "GROUP", 600)
+    found = []
+    for shard, blocks in ((1 << 30, 1), (40, 1), (40, 3)):
+        monkeypatch.setattr(quality, "SHARD", shard)
+        if shard != 40 or blocks == 1:
+            model = quality.estimate(quality.trigram_counts(spark.createDataFrame(texts[:12], "place long, text string").select("text")))
+            keys = common.bloom(model.gains().select(*common.hashed_keys(F.col("key"))))
+            sent = spark.sparkContext.broadcast((quality.NONE, np.zeros(0), keys))
+        # the same middle words are in part 0 of either model
+        got = quality.gathered(df, model, 0, sent, *([blocks] if blocks > 1 else []))
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            made, sums = answers(got).count(), {r["place"]: r["more"] for r in got.collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        found.append((model.shards.first()["of"], made, sums))
+        assert found[-1][1] <= 6 * len(texts)
+        assert set(sums) == set(range(24)) and sums == pytest.approx(found[0][2], rel=1e-9)
+    assert found[1][0] >= 8 * found[0][0]
+
+
 def test_limits_from_few_values():
     assert quality.student(0.995, 1) == pytest.approx(63.657, rel=2e-3)
     assert quality.student(0.995, 29) == pytest.approx(2.7564, rel=1e-3)
