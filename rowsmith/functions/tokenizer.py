@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rowsmith.functions.dialect import BLANK, Dialect
+from rowsmith.functions.dialect import BLANK, Dialect, doubtful
 
 
 def java(text: str) -> str:
@@ -108,6 +108,26 @@ def is_open(line: Column, d: Dialect) -> Column:
     return (F.instr(line, d.quote) > 0) & tokens(line, d).isNull()
 
 
+def goes_on(line: Column, d: Dialect) -> Column:
+    """Whether a line's last field closes only because its doubled quote stands at the end: all its quotes are doubled."""
+    s, q = java(d.col_sep), java(d.quote)
+    blank = f"(?:(?!{s})[ \\t])*+" if d.strip else ""
+    ends = line.endswith(d.quote * 2)
+    if d.escaping == "auto":
+        ends = ends & (F.instr(line, "\\") == 0)
+    found = _tokens(line, d, False)
+    last = F.when(_covers(found, line, d), F.element_at(found, -1)).rlike(f"\\A{s}{blank}{q}(?:[^{q}]++|{q}{q})*+\\z")
+    # a case, because what stands behind `&` twice is computed for all lines
+    return F.when(ends, F.coalesce(last, F.lit(False))).otherwise(F.lit(False)) if doubtful(d) else F.lit(False)
+
+
+def closing(line: Column, d: Dialect) -> Column:
+    """Whether the first quote of a line that isn't doubled ends a field that was open before the line; null if it has none."""
+    s, q = java(d.col_sep), java(d.quote)
+    within = f"\\A(?:[^{q}]++|{q}{q})*+"
+    return F.when((F.instr(line, d.quote) > 0) & ~line.rlike(within + "\\z"), line.rlike(f"{within}{q}(?={s}|\\z)"))
+
+
 def python_pattern(d: Dialect, backslash: bool) -> re.Pattern:
     """The same expression for Python."""
     return re.compile(pattern(d, backslash).replace("\\z", "\\Z"))

@@ -4,6 +4,9 @@ Where every line stands alone, each is its own record. Where quotes span lines,
 quotes or not" before it to the same after it; composing these in order gives the state at every line, so records
 are joined in parallel. Under `auto` escaping a record goes on only while it is open by either convention, so "inside"
 is one state there too. Only files in which a record grows past `field_size_limit` are framed by a stream over each.
+
+A doubled quote at the end of a line is a quote inside a field that goes on, or (leniently) the field's end: it goes on if
+the next quote that isn't doubled, on whatever later line of the file, closes the field.
 """
 
 from __future__ import annotations
@@ -17,19 +20,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowsmith.functions import tokenizer
-from rowsmith.functions.dialect import Dialect, frame
+from rowsmith.functions.dialect import Dialect, doubtful, frame
 from rowsmith.sources.scratch import scratch
 
 SCHEMA = "file string, file_line long, csv_line long, n_lines int, raw string, fields array<string>, status string"
 
 
 def single(lines: DataFrame, d: Dialect, comment: str | None) -> DataFrame:
-    """Every line as its own record; status `open` where it ends inside quotes. See SCHEMA."""
+    """Every line as its own record; status `open` where it ends inside quotes, or may. See SCHEMA."""
     if comment:
         lines = lines.filter(~F.col("raw").rlike(comment))
     base = lines.select("file", "file_line", F.col("file_line").alias("csv_line"), F.lit(1).alias("n_lines"), "raw")
     out = base.withColumn("fields", tokenizer.fields(F.col("raw"), d))
-    return out.withColumn("status", F.when(F.col("fields").isNull(), "open").otherwise("ok"))
+    return out.withColumn("status", F.when(F.col("fields").isNull() | tokenizer.goes_on(F.col("raw"), d), "open").otherwise("ok"))
 
 
 #: Bytes of a record that spans lines beyond which it isn't put together: a quote that never closes may swallow a whole file.
@@ -37,22 +40,29 @@ MOST_BYTES = 256 << 20
 
 
 def joined(
-    lines: DataFrame, d: Dialect, comment: str | None, first_record: int = 1, stretch: int = 100_000, most: int | None = None,
+    lines: DataFrame, d: Dialect, comment: str | None, first_record: int = 1, stretch: int = 100_000, most: int | None = None, doubts: bool = True,
 ) -> DataFrame:
     """Records that may span lines, without a sequential pass. See SCHEMA.
 
-    With `most`, a record of more bytes is malformed and has no text: its lines are counted, not gathered.
+    With `most`, a record of more bytes is malformed and has no text: its lines are counted, not gathered. Without
+    `doubts`, no line ends with a doubled quote.
 
     A line's function is the identity, a flip, or a constant. The state before a line is the last constant's value,
     flipped as often as flips follow it; per stretch of lines by a window, between stretches by one row each.
     """
-    fresh = tokenizer.is_open(F.col("raw"), d)
-    if comment:
-        fresh = fresh & ~F.col("raw").rlike(comment)
+    row = F.lit(True) if comment is None else ~F.col("raw").rlike(comment)
+    bare = F.instr("raw", d.quote) == 0
+    quoted = F.concat(F.lit(d.quote), F.col("raw"))
     # inside quotes, a line without any stays inside
-    within = (F.instr("raw", d.quote) == 0) | tokenizer.is_open(F.concat(F.lit(d.quote), F.col("raw")), d)
-    base = lines.select("file", "file_line", "raw", F.floor(F.col("file_line") / stretch).alias("part")).select(
-        "*", fresh.cast("int").alias("f0"), within.cast("int").alias("f1"))
+    base = lines.select(
+        "file", "file_line", "raw", F.floor(F.col("file_line") / stretch).alias("part"), F.when(bare, False).otherwise(row & tokenizer.is_open(F.col("raw"), d)).alias("fresh"),
+        F.when(bare, True).otherwise(tokenizer.is_open(quoted, d)).alias("within"))
+    if doubts and doubtful(d):
+        base = _followed(base.select(
+            "*", (row & tokenizer.goes_on(F.col("raw"), d)).alias("fresh_on"), tokenizer.goes_on(quoted, d).alias("within_on"),
+            tokenizer.closing(F.col("raw"), d).alias("told")))
+        base = base.withColumn("fresh", F.expr("fresh OR fresh_on AND closes")).withColumn("within", F.expr("within OR within_on AND closes"))
+    base = base.select("file", "file_line", "raw", "part", F.col("fresh").cast("int").alias("f0"), F.col("within").cast("int").alias("f1"))
     base = base.select("file", "file_line", "raw", "part", F.when(F.col("f0") == F.col("f1"), F.col("f0")).alias("const"), (F.col("f0") > F.col("f1")).cast("int").alias("flip"))
 
     def states(df: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -102,6 +112,19 @@ def joined(
         F.lit(None).cast("string").alias("raw"), F.lit(None).cast("array<string>").alias("fields"), F.lit("malformed").alias("status")))
 
 
+def _followed(told: DataFrame) -> DataFrame:
+    """Lines with `closes`: whether the next quote in later lines that isn't doubled ends a field, as their `told` says.
+
+    By a window from the end over each part; between parts by one row each.
+    """
+    first = F.min(F.when(F.col("told").isNotNull(), F.struct("file_line", "told")))["told"]
+    later = Window.partitionBy("file").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = told.groupBy("file", "part").agg(first.alias("told")).select("file", "part", F.last("told", ignorenulls=True).over(later).alias("beyond"))
+    back = Window.partitionBy("file", "part").orderBy(F.desc("file_line")).rowsBetween(Window.unboundedPreceding, -1)
+    found = told.withColumn("closes", F.last("told", ignorenulls=True).over(back)).join(parts, ["file", "part"])
+    return found.withColumn("closes", F.coalesce("closes", "beyond", F.lit(False))).drop("beyond")
+
+
 def _written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "records")
     df.write.parquet(path)

@@ -26,6 +26,7 @@ class Shape:
     width: int
     statuses: dict[str, int]
     backslash: bool = False
+    doubled: bool = False  # whether a line ends with a doubled quote
     facts: dict[str, dict] = field(default_factory=dict)
 
 
@@ -39,11 +40,12 @@ def survey(records: DataFrame, columns: dict[str, Column], options: ReadOptions)
     """Widest good row, rows by status, and the facts of `columns` (of a row's `fields`), in one aggregate."""
     wanted = [n for n in columns if options.numeric(n)]
     slash = F.max((F.instr("raw", "\\") > 0).cast("int")).alias("b")
+    doubled = F.max(F.col("raw").endswith(options.quote_char * 2).cast("int")).alias("d")
     facts = [x for i, n in enumerate(wanted) for x in _facts(columns[n], f"c{i}")]
-    rows = [r.asDict() for r in _once(records).groupBy("status").agg(F.max(F.size("fields")).alias("w"), F.count("*").alias("n"), slash, *facts).collect()]
+    rows = [r.asDict() for r in _once(records).groupBy("status").agg(F.max(F.size("fields")).alias("w"), F.count("*").alias("n"), slash, doubled, *facts).collect()]
     good = next((r for r in rows if r["status"] == "ok"), {})
     found = {name: {k: good.get(f"c{i}_{k}") or 0 for k in FACTS} for i, name in enumerate(wanted)}
-    shape = Shape(good.get("w") or 0, {r["status"]: r["n"] for r in rows}, any(r["b"] for r in rows), found)
+    shape = Shape(good.get("w") or 0, {r["status"]: r["n"] for r in rows}, any(r["b"] for r in rows), any(r["d"] for r in rows), found)
     more = [n for n in wanted if _unsettled(found[n], options)]
     if more and "open" not in shape.statuses:  # else the records are framed and surveyed anew
         told = _once(records).filter("status = 'ok'").agg(*[x for i, n in enumerate(more) for x in _details(columns[n], f"c{i}")]).first().asDict()

@@ -156,9 +156,10 @@ class CsvReader:
         self._shape = self._survey(alone)
         if "open" not in self._shape.statuses:
             return alone
+        doubts = self._shape.doubled or bool(o.comment_regexp)  # of comments, which may be text inside quotes, nothing is known
         self._shape = None
         most = records.MOST_BYTES if self.file_size > records.MOST_BYTES else None
-        framed = records.joined(data, self.dialect, o.comment_regexp, self.preamble + 1, most=most)
+        framed = records.joined(data, self.dialect, o.comment_regexp, self.preamble + 1, most=most, doubts=doubts)
         # framing shuffles, and width, types and rows all need it: it is done once
         path = self._scratch("records")
         framed.write.parquet(path)

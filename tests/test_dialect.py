@@ -97,6 +97,19 @@ def test_written_records_come_back(values):
     assert records[0].fields == values
 
 
+@given(st.lists(st.lists(st.text(alphabet='a"\n, ', max_size=6), min_size=2, max_size=2), min_size=1, max_size=4), st.sampled_from(["double_quotes", "auto"]))
+@settings(max_examples=300, deadline=None)
+def test_written_quotes_before_line_ends_come_back(rows, escaping):
+    lines = "\n".join(",".join('"' + v.replace('"', '""') + '"' for v in r) for r in rows).split("\n")
+    assert [r.fields for r in frame(lines, Dialect(",", escaping=escaping, strip=False))] == rows
+
+
+@pytest.mark.parametrize("rest", ["", "\n2,x", '\n2,x\n3,"y"', '\n2,"x ""y""\nz"', '\n2,""\n3,"y"'])
+def test_a_doubled_quote_that_nothing_closes_ends_its_field(rest):
+    found = list(frame(('1,"ab""' + rest).split("\n"), Dialect(",", escaping="double_quotes")))
+    assert found[0].fields == ["1", 'ab"'] and {r.status for r in found} == {"ok"}
+
+
 def test_spark_splits_like_python(spark):
     lines = ['a,b', '"a,b",c', '"x ""y""",z', '"open,x', ' " s " ,t', 'q"r,s', '"C:\\",x', '"\\"",x', ",,", "", '"é,ü",日本']
     for escaping in ("auto", "double_quotes", "backslash"):

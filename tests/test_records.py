@@ -36,6 +36,29 @@ def test_joined_equals_stitched(spark, escaping, boundary, stretch):
         assert a == b
 
 
+@pytest.mark.parametrize("stretch", [1, 2, 100_000])
+def test_doubled_quotes_at_line_ends(spark, stretch):
+    rng = random.Random(stretch)
+    quoted = lambda: '"' + "".join(rng.choice(['""', '""\n', "a", ",", "\n"]) for _ in range(rng.randint(0, 6))) + '"'
+    texts = {f"f{k}": "\n".join(f"{i},{quoted()}" for i in range(8)) for k in range(40)}
+    texts |= {f"g{k}": x.replace('"\n', rng.choice(['\n', '""\n', '"x\n']), 2) for k, x in enumerate(list(texts.values()))}
+    for escaping in ("double_quotes", "auto"):
+        a, b = both(spark, texts, Dialect(",", escaping=escaping), None, stretch)
+        assert a == b
+        assert all(len(r[5]) == 2 and r[6] == "ok" for r in a if r[0].startswith("f")) and sum(r[0].startswith("f") for r in a) == 320
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ('k,v\n1,"say ""x""\nfoo"\n2,b\n', [(1, 'say "x"\nfoo'), (2, "b")]), ('k,v\n1,"x""\n2,b\n3,"c"\n', [(1, 'x"'), (2, "b"), (3, "c")]),
+    ('k,v\n1,"a\n# b ""x""\nfoo"\n2,b\n', [(1, 'a\n# b "x"\nfoo'), (2, "b")])])
+@pytest.mark.parametrize("options", [{}, {"quote_escaping": "double_quotes"}, {"comment_regexp": r"\A#"}])
+def test_reading_doubled_quotes_at_line_ends(spark, tmp_path, text, want, options):
+    p = tmp_path / "q.csv"
+    p.write_text(text)
+    assert [tuple(r.values()) for r in CsvReader(spark, str(p), col_sep=",", **options).each()] == want
+    assert [tuple(r.values()) for r in CsvReader(spark, text=text, col_sep=",", **options).each()] == want
+
+
 def test_swallowed_files_are_counted_not_gathered(spark):
     text = '"a\nb"\n1,2\n"open\n' + "x\n" * 50
     found = records.joined(lines_of(spark, {"f": text}), Dialect(",", escaping="double_quotes"), None, 1, most=40).orderBy("csv_line").collect()
