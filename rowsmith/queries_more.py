@@ -7,8 +7,11 @@ import gzip
 import io
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 import rowsmith
 from rowsmith import errors as E
@@ -17,7 +20,7 @@ from rowsmith.functions import tokenizer
 from rowsmith.functions.dialect import Dialect
 from rowsmith.operators import writer
 from rowsmith.queries import _bad_file, file_of, query, raw_file, text_of
-from rowsmith.sources import datasource
+from rowsmith.sources import datasource, lines
 from rowsmith.sources.reader import CsvReader, last_errors, last_warnings, parse_column
 from rowsmith.sources.scratch import scratch
 from rowsmith.streaming.stream import import_chunks, read_stream
@@ -27,6 +30,40 @@ def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+class _Pieces:
+    """Rows that the driver comes by one after the other, written to the shared folder a piece at a time."""
+
+    def __init__(self, spark: SparkSession, schema: str, size: int = 100_000) -> None:
+        self.spark, self.size, self.path = spark, size, scratch(spark, "rows")
+        self.schema = spark.createDataFrame([], schema).schema
+        self.rows: list[tuple] = []
+        self.n = 0
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        if len(self.rows) == self.size:
+            self._write()
+
+    def _write(self) -> None:
+        kinds = to_arrow_schema(self.schema)
+        columns = list(zip(*self.rows, strict=True)) or [()] * len(kinds)
+        out = io.BytesIO()
+        pq.write_table(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds), out)
+        out.seek(0)
+        lines.spool(self.spark, out, f"{self.path}/part-{self.n:06d}.parquet")
+        self.rows, self.n = [], self.n + 1
+
+    def __enter__(self) -> _Pieces:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is None and (self.rows or not self.n):
+            self._write()
+
+    def dataframe(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def _error(f: Callable[[], object]) -> str:
     """The name of the error that f raises, or what it returns."""
     try:
@@ -155,12 +192,18 @@ def fail_fast(spark, t):
 @query("SELECT o_orderkey + 2 AS line, 'HeaderSizeMismatch' AS error FROM orders WHERE o_orderkey % 7 = 0")
 def bad_row_callback(spark, t):
     """Each bad row is handed to a function, in input order."""
-    seen = []
-    CsvReader(spark, _bad_file(spark, t), col_sep=",", missing_headers="raise", on_bad_row=seen.append).dataframe()
-    lines = [r["file_line_number"] for r in seen]
-    if lines != sorted(lines):
-        raise AssertionError("bad rows came out of order")
-    return _rows(spark, [(r["file_line_number"], r["error_class"]) for r in seen], "line long, error string")
+    last = 0
+    with _Pieces(spark, "line long, error string") as seen:
+
+        def call(row: dict) -> None:
+            nonlocal last
+            if row["file_line_number"] < last:
+                raise AssertionError("bad rows came out of order")
+            last = row["file_line_number"]
+            seen.add((last, row["error_class"]))
+
+        CsvReader(spark, _bad_file(spark, t), col_sep=",", missing_headers="raise", on_bad_row=call).dataframe()
+    return seen.dataframe()
 
 
 @query("SELECT 'TooManyBadRows' AS below, count(*)::VARCHAR AS equal FROM orders WHERE o_orderkey % 7 = 0")

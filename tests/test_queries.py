@@ -45,3 +45,13 @@ def test_entry_registers_them():
 def test_pruning_reaches_the_scan(spark):
     plan = queries.QUERIES["only_columns"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("n", [0, 3, 7])
+def test_rows_gathered_on_the_driver_in_pieces(spark, n):
+    rows = [(i, None if i == 2 else f"e{i}") for i in range(n)]
+    with queries_more._Pieces(spark, "line long, error string", size=3) as seen:
+        for r in rows:
+            seen.add(r)
+            assert len(seen.rows) < 3
+    assert sorted(tuple(r) for r in seen.dataframe().collect()) == rows and seen.dataframe().dtypes == [("line", "bigint"), ("error", "string")]

@@ -2,6 +2,7 @@
 
 import gzip
 import os
+import pickle
 
 import pytest
 
@@ -340,3 +341,43 @@ def test_stream_drops_only_the_first_line(spark, put, tmp_path):
     query = stream.import_chunks(stream.read_stream(spark, str(tmp_path / "in"), ["id", "name"], types={}), lambda df, _: got.extend((r["id"], r["name"]) for r in df.collect()), str(tmp_path / "cp"))
     query.awaitTermination(60)
     assert sorted(got, key=str) == sorted([("1", "x"), ("id", "name"), ("2", "y"), ("3", "z"), ("4", "w"), ("id", "name")], key=str)
+
+
+@pytest.mark.parametrize("raw", [True, False])
+def test_bad_rows_reach_the_callback_in_few_bytes(spark, tmp_path, monkeypatch, raw):
+    for k in range(2):
+        (tmp_path / f"f{k}.csv").write_text("a,b\n" + "".join(f"{i},x{',y' * (i % 3 == 0)}\n" for i in range(9000)))
+    sent, seen = [], []
+    frames = type(spark.range(1))
+    local = frames.toLocalIterator
+
+    def counted(df, *args, **options):
+        for r in local(df, *args, **options):
+            sent.append(len(pickle.dumps(tuple(r))))
+            yield r
+
+    monkeypatch.setattr(frames, "toLocalIterator", counted)
+    r = CsvReader(spark, str(tmp_path), col_sep=",", missing_headers="raise", collect_raw_lines=raw, on_bad_row=seen.append)
+    r.dataframe()
+    assert len(seen) == r.bad_row_count == 6000 and sum(sent) < 20 * len(seen)
+    assert seen == [x.asDict() for x in r.errors.orderBy("file", "file_line_number").collect()]
+    assert list(seen[0]) == r.errors.columns
+
+
+def test_bad_rows_of_several_kinds_and_lines_reach_the_callback(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('a,b\n1,"x\ny"\n2,"p\nq",z\n3,é,ü\n4,5\n6,' + "x" * 30 + '\n7,"open\nrest\n')
+    seen = []
+    r = CsvReader(spark, str(tmp_path / "m.csv"), col_sep=",", missing_headers="raise", field_size_limit=20, on_bad_row=seen.append)
+    r.dataframe()
+    assert [(x["file_line_number"], x["csv_line_number"], x["file_lines_consumed"], x["error_class"], x["raw_logical_line"]) for x in seen] == [
+        (4, 3, 2, "HeaderSizeMismatch", '2,"p\nq",z'), (6, 4, 1, "HeaderSizeMismatch", "3,é,ü"), (8, 6, 1, "FieldSizeLimitExceeded", "6," + "x" * 30),
+        (9, 7, 2, "MalformedCSV", '7,"open\nrest')]
+    assert seen == [x.asDict() for x in r.errors.orderBy("file_line_number").collect()]
+
+
+def test_bad_rows_that_are_no_utf8_reach_the_callback(spark, put):
+    seen = []
+    r = CsvReader(spark, put("l.csv", b"a,b\n1,2\n3,\xe9,\xff\xc3\n4,caf\xc3\xa9,5\n"), col_sep=",", missing_headers="raise", on_bad_row=seen.append)
+    r.dataframe()
+    assert [x["raw_logical_line"] for x in seen] == ["3,\ufffd,\ufffd\ufffd", "4,café,5"]
+    assert seen == [x.asDict() for x in r.errors.orderBy("file_line_number").collect()]
